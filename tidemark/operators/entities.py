@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,15 @@ SOURCE_KEY, TARGET_KEY = "deploy.source", "deploy.target"
 NATIVE_TYPE = "flink-native-kubernetes"
 
 
-def _open(df: DataFrame, payload: str, schema: str) -> DataFrame:
-    return df.withColumn("_p", F.from_json(payload, schema)).drop(payload)
+def _open(df: DataFrame, payload: str, schema: str, ok: Callable | None = None) -> DataFrame:
+    """Add the parsed payload as ``_p``, keeping only payloads for which ``ok`` holds.
+
+    Exploding a one-element array keeps the optimizer from copying the parse into every filter and
+    field access above it: each payload is parsed once.
+    """
+    one = F.array(F.from_json(payload, schema))
+    parsed = one if ok is None else F.filter(one, ok)
+    return df.withColumn("_p", F.explode(parsed)).drop(payload)
 
 
 def parse_json(df: DataFrame, payload: str, schema: str) -> DataFrame:
@@ -122,10 +131,10 @@ def pairs_to_map(pairs: Column, key: str, value: str) -> Column:
 
 def pairs_payload_to_map(df: DataFrame, payload: str, key: str, name: str) -> DataFrame:
     """A payload that is an array of ``{key, value}`` objects as one map column."""
-    parsed = F.from_json(payload, f"array<struct<{key}:string,value:string>>")
     rest = [c for c in df.columns if c != payload]
-    return df.select(*rest, parsed.alias("_pairs")).select(
-        *rest, pairs_to_map(F.col("_pairs"), key, "value").alias(name)
+    pairs = pairs_to_map(F.col("_p"), key, "value")
+    return _open(df, payload, f"array<struct<{key}:string,value:string>>").select(
+        *rest, pairs.alias(name)
     )
 
 
@@ -207,34 +216,39 @@ def savepoint_watch(
     return take_until_terminal(changed, trigger, seq, F.col("is_completed"), block_rows)
 
 
-def _rejects(required: dict[str, Column]) -> Column:
-    """Names of the required fields that are missing."""
+def _missing(p: Column, schema: str, labels: Callable) -> Column:
+    """Names of the required fields that an entity lacks."""
+    required = {
+        "name": p["metadata"]["name"],
+        "namespace": p["metadata"]["namespace"],
+        "creationTimestamp": _epoch_s(p["metadata"]["creationTimestamp"]),
+        "spec": p["spec"],
+        "app": labels(p)["app"],
+        "component": labels(p)["component"],
+    }
+    if "status struct" in schema:
+        required["status"] = p["status"]
     return F.array_compact(
         F.array(*[F.when(value.isNull(), F.lit(name)) for name, value in required.items()])
     )
 
 
 def entity_quarantine(
-    df: DataFrame, payload: str, schema: str, labels: Column
+    df: DataFrame, payload: str, schema: str, labels: Callable
 ) -> tuple[DataFrame, DataFrame]:
-    """Entities with every required field, and the rejected rest with what they lack.
+    """Entities with every required field (parsed, as ``_p``), and the rejected rest.
 
-    ``labels`` reads the map that must name the app and the component, in terms of the parsed ``_p``.
+    ``labels`` picks the map that must name the app and the component out of the parsed entity.
     """
-    p = F.col("_p")
-    required = {
-        "name": p["metadata"]["name"],
-        "namespace": p["metadata"]["namespace"],
-        "creationTimestamp": _epoch_s(p["metadata"]["creationTimestamp"]),
-        "spec": p["spec"],
-        "app": labels["app"],
-        "component": labels["component"],
-    }
-    if "status struct" in schema:
-        required["status"] = p["status"]
-    checked = df.withColumn("_p", F.from_json(payload, schema)).withColumn("missing", _rejects(required))
-    valid = checked.where(F.size("missing") == 0).drop("missing")
-    return valid, checked.where(F.size("missing") > 0).drop("_p")
+    valid = _open(df, payload, schema, lambda p: F.size(_missing(p, schema, labels)) == 0)
+    gaps = F.transform(F.array(F.from_json(payload, schema)), lambda p: _missing(p, schema, labels))
+    rejected = df.withColumn("missing", F.explode(F.filter(gaps, lambda m: F.size(m) > 0)))
+    return valid, rejected
+
+
+SERVICE_LABELS = lambda p: p["spec"]["selector"]
+DEPLOYMENT_LABELS = lambda p: p["spec"]["selector"]["matchLabels"]
+POD_LABELS = lambda p: p["metadata"]["labels"]
 
 
 def _identity(labels: Column) -> list[Column]:
@@ -270,8 +284,7 @@ def _conditions(raw: Column) -> Column:
 def service_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame:
     """Services as rows: complete ports without repeats, DNS name, rest flag."""
     p = F.col("_p")
-    labels = p["spec"]["selector"]
-    valid, _ = entity_quarantine(df, payload, SERVICE, labels)
+    valid, _ = entity_quarantine(df, payload, SERVICE, SERVICE_LABELS)
     complete = F.filter(
         p["spec"]["ports"],
         lambda x: x["name"].isNotNull()
@@ -292,7 +305,7 @@ def service_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataF
     name, namespace = p["metadata"]["name"], p["metadata"]["namespace"]
     return valid.select(
         *keep,
-        *_identity(labels),
+        *_identity(SERVICE_LABELS(p)),
         F.concat_ws(".", name, namespace).alias("dns"),
         p["spec"]["clusterIP"].alias("cluster_ip"),
         F.coalesce(F.array_distinct(ports), none).alias("ports"),
@@ -303,8 +316,7 @@ def service_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataF
 def deployment_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame:
     """Deployments as rows; missing counters are 0."""
     p = F.col("_p")
-    labels = p["spec"]["selector"]["matchLabels"]
-    valid, _ = entity_quarantine(df, payload, DEPLOYMENT, labels)
+    valid, _ = entity_quarantine(df, payload, DEPLOYMENT, DEPLOYMENT_LABELS)
     counters = {
         "observed_generation": "observedGeneration",
         "replicas": "replicas",
@@ -315,7 +327,7 @@ def deployment_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> Da
     }
     return valid.select(
         *keep,
-        *_identity(labels),
+        *_identity(DEPLOYMENT_LABELS(p)),
         _conditions(p["status"]["conditions"]).alias("conditions"),
         *[F.coalesce(p["status"][raw], F.lit(0)).alias(c) for c, raw in counters.items()],
     )
@@ -357,8 +369,7 @@ def _resources_of(containers: Column, name: Column) -> Column:
 def pod_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame:
     """Pods as rows, each container status joined to its resources by name inside the row."""
     p = F.col("_p")
-    labels = p["metadata"]["labels"]
-    valid, _ = entity_quarantine(df, payload, POD, labels)
+    valid, _ = entity_quarantine(df, payload, POD, POD_LABELS)
     blank = F.lit("")
 
     def container(c: Column) -> Column:
@@ -377,7 +388,7 @@ def pod_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame
 
     return valid.select(
         *keep,
-        *_identity(labels),
+        *_identity(POD_LABELS(p)),
         _conditions(p["status"]["conditions"]).alias("conditions"),
         _one_of(p["status"]["phase"], POD_PHASES).alias("phase"),
         p["status"]["reason"].alias("reason"),

@@ -3,8 +3,8 @@
 from importlib import import_module
 
 MODULES = [
-    "sources", "results", "status", "keyed", "entities",
-    "metrics", "normalize", "relational", "streams",
+    "results", "status", "keyed", "entities",
+     
 ]
 
 
