@@ -84,7 +84,7 @@ def s3_required(places: list[Column], jars: Column) -> Column:
 
 def plugin_names(names: Column, version: Column, scala: Column) -> Column:
     """Trimmed plugin list without blanks or repeats, known names replaced by their jar name."""
-    trimmed = F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != ""))
+    trimmed = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.isNotNull() & (n != ""))
     jars = F.transform(trimmed, lambda n: F.coalesce(settings.plugin_jar(n, version, scala), n))
     return F.array_distinct(jars)
 

@@ -94,14 +94,15 @@ def q_or_set(spark, d):
     return keyed.or_set(log, ["set_id"], "user_id", "op", "event_id")
 
 
-def change_events(spark, d):
+def as_change_events(rows):
+    """Rows of ``events`` (a table or a stream) read as a cluster's change log."""
     kind = (
         F.when(F.col("event_type") == "signup", "Added")
         .when(F.col("event_type").isin("view", "click"), "Modified")
         .when(F.col("event_type") == "purchase", "Deleted")
         .when(_big_error(), "Reset")
     )
-    return events(spark, d).select(
+    return rows.select(
         (F.col("user_id") % 10).alias("cluster_id"),
         F.col("user_id").alias("name"),
         kind.alias("kind"),
@@ -111,7 +112,7 @@ def change_events(spark, d):
 
 
 def q_apply_change_events(spark, d):
-    return keyed.apply_change_events(change_events(spark, d), ["cluster_id"], "name", "kind", "event_id")
+    return keyed.apply_change_events(as_change_events(events(spark, d)), ["cluster_id"], "name", "kind", "event_id")
 
 
 def _parts_by(spark, d, flag):
@@ -150,7 +151,7 @@ def q_snapshot_reconcile(spark, d):
 
 def q_live_members_metrics(spark, d):
     live = keyed.apply_change_events(
-        change_events(spark, d), ["cluster_id"], "name", "kind", "event_id"
+        as_change_events(events(spark, d)), ["cluster_id"], "name", "kind", "event_id"
     )
     metrics = events(spark, d).select(
         (F.col("user_id") % 10).alias("cluster_id"),

@@ -26,10 +26,9 @@ def table_stream(
 
 def inline_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """``VALUES (...) AS t(...)``; the values are bound, not pasted into the text."""
-    marks = ", ".join("(" + ", ".join("?" for _ in r) + ")" for r in rows)
-    return spark.sql(
-        f"SELECT * FROM VALUES {marks} AS t({', '.join(columns)})", args=[v for r in rows for v in r]
-    )
+    args = {f"r{i}c{j}": value for i, row in enumerate(rows) for j, value in enumerate(row)}
+    marks = (f"({', '.join(f':r{i}c{j}' for j in range(len(columns)))})" for i in range(len(rows)))
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(marks)} AS t({', '.join(columns)})", args=args)
 
 
 @dataclass(frozen=True)
