@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import quantity
 from tidemark.functions.settings import TARGETS, lookup
-from tidemark.operators.status import changes, known_job_state, take_until_terminal
-from tidemark.plans.ordered import BLOCK_ROWS
+from tidemark.operators.status import changes, known_job_state
 
 # Payload schemas, as the services send them.
 JOBS_OVERVIEW = """jobs array<struct<jid:string,name:string,state:string,`start-time`:bigint,
@@ -209,11 +208,11 @@ def savepoint_status(df: DataFrame, payload: str, ids: list[str]) -> DataFrame:
 
 
 def savepoint_watch(
-    polls: DataFrame, trigger: list[str], seq: str, block_rows: int = BLOCK_ROWS
+    polls: DataFrame, trigger: list[str], seq: str, block_rows: int | None = None
 ) -> DataFrame:
     """Changed states of each trigger until it is completed."""
-    changed = changes(polls, trigger, seq, ["state", "location", "failure_cause"], block_rows)
-    return take_until_terminal(changed, trigger, seq, F.col("is_completed"), block_rows)
+    cols = ["state", "location", "failure_cause"]
+    return changes(polls, trigger, seq, cols, block_rows, until=F.col("state") == "Completed")
 
 
 def _missing(p: Column, schema: str, labels: Callable) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from tidemark.operators.status import changes, is_active
 from tidemark.plans.lookup import listed, skew_join
-from tidemark.plans.ordered import BLOCK_ROWS
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -138,7 +137,7 @@ def content_hash(df: DataFrame, keys: list[str], content: list[str]) -> DataFram
 
 
 def snapshot_changed(
-    polls: DataFrame, owner: list[str], poll: str, content: list[str], block_rows: int = BLOCK_ROWS
+    polls: DataFrame, owner: list[str], poll: str, content: list[str], block_rows: int | None = None
 ) -> DataFrame:
     """Polls whose content differs from the owner's previous poll."""
     hashed = content_hash(polls, [*owner, poll], content)

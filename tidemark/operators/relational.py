@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import (
-    BLOCK_ROWS,
     Carry,
     block_of,
     block_window,
@@ -24,7 +23,7 @@ def asof_join(
     keys: list[str],
     seq: str,
     values: list[str],
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Each probe with the ``values`` of the newest fact of its key at or before its ``seq``.
 
@@ -36,7 +35,7 @@ def asof_join(
     both = left.unionByName(right, allowMissingColumns=True)
     order = [seq, "_side"]
     newest = F.max_by("_state", F.when(F.col("_state").isNotNull(), order_key(order)))
-    carried = with_carry(both, keys, {"_state": Carry(newest, "last")}, block_of(seq, block_rows))
+    carried = with_carry(both, keys, {"_state": Carry(newest, "last")}, block_of(both, seq, block_rows))
     upto = block_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = carried.withColumn("_found", F.last("_state", ignorenulls=True).over(upto))
     found = rows_only(matched).where(F.col("_side") == 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.lookup import skew_join
-from tidemark.plans.ordered import BLOCK_ROWS, block_of, page_of_order, rank_in_key
+from tidemark.plans.ordered import block_of, page_of_order, rank_in_key
 
 DEFAULT_CAPACITY = 1024
 SHALLOW_ROWS = 10_000
@@ -83,7 +83,7 @@ def retain_first(
     seq: str,
     n: int = DEFAULT_CAPACITY,
     keys: list[str] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows by ``seq`` (of each key, if keys are given); n < 0 keeps everything."""
     return _retain(df, seq, n, keys, block_rows, backwards=False)
@@ -94,7 +94,7 @@ def retain_last(
     seq: str,
     n: int = DEFAULT_CAPACITY,
     keys: list[str] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The last ``n`` rows by ``seq`` (of each key, if keys are given); n < 0 keeps everything."""
     return _retain(df, seq, n, keys, block_rows, backwards=True)
@@ -111,7 +111,7 @@ def _retain(df, seq, n, keys, block_rows, backwards):
             return page_of_order(df, seq, 0, n, block_rows)
         mirrored = df.withColumn("_back", -F.col(seq))
         return page_of_order(mirrored, "_back", 0, n, block_rows).drop("_back")
-    ranked = rank_in_key(df, keys, [seq], block_of(seq, block_rows), backwards)
+    ranked = rank_in_key(df, keys, [seq], block_of(df, seq, block_rows), backwards)
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
@@ -121,7 +121,7 @@ def result_page(
     page: int,
     size: int,
     running: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Page ``page`` (from 1) of the rows in ``seq`` order, with the page counters beside each row."""
     if page < 1 or size < 1:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lookup import skew_join
 from tidemark.plans.ordered import (
-    BLOCK_ROWS,
     Carry,
     block_of,
     block_window,
@@ -29,15 +28,33 @@ INACTIVE_JOB_STATES = ["FAILED", "CANCELED", "FINISHED"]
 
 
 def changes(
-    df: DataFrame, keys: list[str], seq: str, cols: list[str], block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    cols: list[str],
+    block_rows: int | None = None,
+    until: Column | None = None,
 ) -> DataFrame:
-    """Rows that differ in ``cols`` from the previous row of their key; the first row is kept."""
+    """Rows that differ in ``cols`` from the previous row of their key; the first row is kept.
+
+    With ``until``, which may depend on ``cols`` alone, a key ends with its first row for which it
+    holds: that row always is a change, so one scan does for both.
+    """
     carries = {c: Carry(F.max_by(c, seq), "prev") for c in cols}
-    both = with_carry(df, keys, carries, block_of(seq, block_rows))
-    state = F.struct(*cols)
-    before = F.lag(state).over(block_window(keys, [seq]))
-    marked = both.withColumn("_same", state.eqNullSafe(before))
-    return rows_only(marked.where(~F.col("_same")), "_same")
+    if until is not None:
+        df = df.withColumn("_hit", F.coalesce(until, F.lit(False)))
+        carries["_hit"] = Carry(F.max("_hit"), "max")
+    both = with_carry(df, keys, carries, block_of(df, seq, block_rows))
+    state, window = F.struct(*cols), block_window(keys, [seq])
+    marked = both.withColumn("_same", state.eqNullSafe(F.lag(state).over(window)))
+    if until is None:
+        return rows_only(marked.where(~F.col("_same")), "_same")
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max("_hit").over(earlier), F.lit(False))
+    return rows_only(
+        marked.withColumn("_ended", ended).where(~F.col("_same") & ~F.col("_ended")),
+        "_same", "_ended", "_hit",
+    )
 
 
 def first_distinct_errors(
@@ -46,14 +63,14 @@ def first_distinct_errors(
     seq: str,
     cols: list[str],
     is_error: Column,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``changes`` among the errors alone: a success between two equal errors does not reset."""
     return changes(df.where(is_error), keys, seq, cols, block_rows)
 
 
 def take_until_terminal(
-    df: DataFrame, keys: list[str], seq: str, is_end: Column, block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], seq: str, is_end: Column, block_rows: int | None = None
 ) -> DataFrame:
     """Rows of each key up to and including its first terminal one."""
     return seen_before(df, keys, seq, is_end, "_ended", block_rows).where(~F.col("_ended")).drop("_ended")
@@ -86,7 +103,7 @@ def frames_with_rows(
     seq: str,
     status: str,
     is_query: Column,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Each changed frame paired with its result rows, if its state and kind can have rows."""
     changed = changes(frames, [handle], seq, [status], block_rows)
@@ -103,7 +120,7 @@ def frames_with_rows(
 
 
 def cascade_cancel(
-    df: DataFrame, batch: list[str], seq: str, status: str, block_rows: int = BLOCK_ROWS
+    df: DataFrame, batch: list[str], seq: str, status: str, block_rows: int | None = None
 ) -> DataFrame:
     """Within a batch everything after the first Fail becomes Cancel."""
     failed = F.col(status) == "Fail"

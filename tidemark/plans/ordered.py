@@ -8,8 +8,13 @@ the rows before it is a few values, computed in three small steps:
 2. fold those summaries along the blocks of each key;
 3. hand the folded values to the block as one extra leading row (the *carry* row).
 
-A window over (key, block) then sees the carry row first and needs nothing else.  With a unique
-integer order column a block never has more than ``block_rows`` rows of a key.
+A window over (key, block) then sees the carry row first and needs nothing else.  The input is read
+twice, the first time for the few columns of step 1 only; write or persist an input that is costly
+to compute.
+
+The order column is a unique integer.  Blocks are equally wide and there are at most ``MAX_BLOCKS`` of
+them, which bounds step 2; a block is never wider than ``BLOCK_ROWS`` unless that limit demands it,
+and a block of width w has at most w rows of a key.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 22
+BLOCK_ROWS = 1 << 20
+MAX_BLOCKS = 1 << 16
 BLOCK = "_block"
 IS_ROW = "_is_row"
 
@@ -32,9 +38,25 @@ class Carry:
     fold: str  # prev | last | max | min | sum
 
 
-def block_of(seq: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """Monotone block number of an integer order column."""
-    return F.expr(f"`{seq}` div {int(block_rows)}L")
+def block_of(df: DataFrame, seq: str, block_rows: int | None = None) -> Column:
+    """Block number of an integer order column: never falls as ``seq`` rises.
+
+    The width comes from the range of the data, read by a scalar subquery, unless it is given.
+    """
+    if block_rows is not None:
+        return F.expr(f"`{seq}` div {int(block_rows)}L")
+    bounds = df.agg(
+        F.struct(
+            F.min(seq).cast("bigint").alias("low"),
+            F.greatest(
+                F.lit(BLOCK_ROWS).cast("bigint"),
+                F.ceil((F.max(seq).cast("double") - F.min(seq).cast("double") + 1) / MAX_BLOCKS),
+            ).alias("width"),
+        ).alias("b")
+    ).scalar()
+    # As doubles, since the range of bigint values may not fit a bigint.
+    offset = F.col(seq).cast("double") - bounds["low"].cast("double")
+    return F.floor(offset / bounds["width"].cast("double")).cast("bigint")
 
 
 def order_key(order: list[str]) -> Column:
@@ -91,13 +113,12 @@ def seen_before(
     seq: str,
     hit: Column,
     name: str = "_seen",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``name``: is there a strictly earlier row of the same key for which ``hit`` is true?"""
     marked = df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    both = with_carry(
-        marked, keys, {"_hit": Carry(F.max("_hit"), "max")}, block_of(seq, block_rows)
-    )
+    block = block_of(df, seq, block_rows)
+    both = with_carry(marked, keys, {"_hit": Carry(F.max("_hit"), "max")}, block)
     before = block_window(keys, [seq]).rowsBetween(Window.unboundedPreceding, -1)
     flagged = both.withColumn(name, F.coalesce(F.max("_hit").over(before), F.lit(False)))
     return rows_only(flagged, "_hit")
@@ -119,13 +140,15 @@ def rank_in_key(
     return rows_only(both.withColumn(name, position), "_before")
 
 
-def page_of_order(df: DataFrame, seq: str, start: int, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def page_of_order(
+    df: DataFrame, seq: str, start: int, size: int, block_rows: int | None = None
+) -> DataFrame:
     """Rows at positions [start, start+size) of the total order by a unique integer ``seq``.
 
     Only the blocks that overlap the page are sorted; each of them holds at least one page row, so
     at most ``size`` block numbers are broadcast.
     """
-    rows = df.withColumn(BLOCK, block_of(seq, block_rows))
+    rows = df.withColumn(BLOCK, block_of(df, seq, block_rows))
     per_block = rows.groupBy(BLOCK).agg(F.count("*").alias("_n"))
     upto = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     needed = (

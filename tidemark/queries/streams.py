@@ -13,7 +13,10 @@ from tidemark.streaming import stateful
 from tidemark.streaming.windows import final_updates, run_append, run_updates, windowed
 
 BOUNDS = ["window_start", "window_end"]
-COUNTS = [F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("n_sales")]
+
+
+def _counts():
+    return [F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("n_sales")]
 
 
 def _stream(spark, d):
@@ -27,7 +30,7 @@ def _shown(df):
 def _windows(spark, d, name, window, key):
     base = scratch_dir(spark, name)
     stream = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = windowed(stream, window, [key], COUNTS)
+    counted = windowed(stream, window, [key], _counts())
     run_updates(counted, f"{base}/progress", f"{base}/rows").awaitTermination()
     return _shown(final_updates(spark, f"{base}/rows", [*BOUNDS, key]))
 
@@ -48,7 +51,7 @@ def q_stream_watermark(spark, d):
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", "2 hours")
     )
-    counted = windowed(stream, F.window("ts", "1 hour"), ["event_type"], COUNTS)
+    counted = windowed(stream, F.window("ts", "1 hour"), ["event_type"], _counts())
     run_append(counted, f"{base}/progress", f"{base}/rows").awaitTermination()
     return _shown(spark.read.schema(counted.schema).parquet(f"{base}/rows"))
 
@@ -61,7 +64,7 @@ def q_stream_session(spark, d):
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", "30 minutes")
     )
-    counted = windowed(stream, F.session_window("ts", "5 minutes"), ["user_id"], COUNTS)
+    counted = windowed(stream, F.session_window("ts", "5 minutes"), ["user_id"], _counts())
     run_append(counted, f"{base}/progress", f"{base}/rows").awaitTermination()
     return _shown(spark.read.schema(counted.schema).parquet(f"{base}/rows"))
 

@@ -40,7 +40,7 @@ def log_lines(
         df = df.where(F.col(ts) >= edge)
     if tail_lines is None:
         return df
-    cut = block if block is not None else block_of(order[0])
+    cut = block if block is not None else block_of(df, order[0])
     ranked = rank_in_key(df, [pod], order, cut, backwards=True)
     return ranked.where(F.col("_rank") <= tail_lines).drop("_rank")
 

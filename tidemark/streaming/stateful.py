@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import keyed, results, status
 from tidemark.plans.lookup import skew_join
-from tidemark.plans.ordered import BLOCK_ROWS
 
 
 def _read_version(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
@@ -76,7 +75,7 @@ def changes_stream(
     cols: list[str],
     checkpoint: str,
     out: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ):
     """``changes`` over a stream; remembers the last row of each key."""
 
@@ -98,7 +97,7 @@ def take_until_terminal_stream(
     is_end: Column,
     checkpoint: str,
     out: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ):
     """``take_until_terminal`` over a stream; remembers the keys that have ended, and how far each is."""
 
@@ -126,7 +125,7 @@ def retain_last_stream(
     seq: str,
     n: int,
     checkpoint: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ):
     """``retain_last`` over a stream; the remembered table is the result."""
 
