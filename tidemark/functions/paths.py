@@ -12,26 +12,27 @@ S3_SCHEMES = ["s3", "s3a", "s3n", "s3p"]
 PLATFORM_SCHEME = "store"
 
 
-def _parts(path: Column, sep: str) -> Column:
-    """Split with the empty parts at the end dropped; a path without text keeps its one part.
+SEP = "://"
 
-    A path of separators alone has no parts left; it is treated as one empty part.
-    """
-    trimmed = F.regexp_replace(path, f"({sep})+$", "")
-    return F.split(trimmed, sep, -1)
+
+def _without_end(path: Column) -> Column:
+    """The path without separators at its end; splitting drops the empty parts there."""
+    return F.when(F.endswith(path, F.lit(SEP)), F.regexp_replace(path, f"({SEP})+$", "")).otherwise(path)
 
 
 def scheme(path: Column) -> Column:
-    parts = _parts(path, "://")
-    return F.when(F.size(parts) >= 2, parts[0])
+    """Text before the first "://", NULL unless something follows it."""
+    at = F.instr(path, SEP)
+    rest = F.replace(F.substr(path, at + len(SEP)), F.lit(SEP), F.lit(""))
+    return F.when((at > 0) & (rest != ""), F.substring_index(path, SEP, 1))
 
 
 def without_scheme(path: Column) -> Column:
-    return F.element_at(_parts(path, "://"), -1)
+    return F.substring_index(_without_end(path), SEP, -1)
 
 
 def without_first_slash(path: Column) -> Column:
-    return F.regexp_replace(path, "^/", "")
+    return F.when(F.startswith(path, F.lit("/")), F.substr(path, F.lit(2))).otherwise(path)
 
 
 def pure_path(path: Column) -> Column:
@@ -39,12 +40,12 @@ def pure_path(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(_parts(path, "/"), -1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def is_s3(path: Column) -> Column:
     """A bare "s3" without "://" counts too."""
-    return F.trim(_parts(path, "://")[0]).isin(S3_SCHEMES)
+    return F.trim(F.substring_index(path, SEP, 1)).isin(S3_SCHEMES)
 
 
 def is_platform(path: Column, platform_scheme: str = PLATFORM_SCHEME) -> Column:
@@ -52,9 +53,9 @@ def is_platform(path: Column, platform_scheme: str = PLATFORM_SCHEME) -> Column:
 
 
 def s3_to_s3p(path: Column) -> Column:
-    parts = _parts(path, "://")
-    rewrite = (F.size(parts) >= 2) & parts[0].isin(S3_SCHEMES)
-    return F.when(rewrite, F.concat(F.lit("s3p://"), F.get(parts, F.lit(1)))).otherwise(path)
+    """S3 paths with scheme s3p; of several "://" only the part after the first is kept."""
+    second = F.substring_index(F.substring_index(path, SEP, 2), SEP, -1)
+    return F.when(scheme(path).isin(S3_SCHEMES), F.concat(F.lit("s3p://"), second)).otherwise(path)
 
 
 def to_http(

@@ -11,20 +11,28 @@ DEFAULT_UNIT = "k"
 
 _K = UNITS.index("k")
 _KI = UNITS.index("Ki")
-_SHAPE = r"^\s*([0-9.eE+-]+?)\s*(Ki|Mi|Gi|Ti|Pi|Ei|n|u|m|k|M|G|T|P|E)?\s*$"
 
 
 def parse(text: Column) -> Column:
     """struct(value, unit); a number without a unit has unit k, malformed text gives NULL."""
-    unit = F.regexp_extract(text, _SHAPE, 2)
-    value = F.regexp_extract(text, _SHAPE, 1).try_cast("double")
-    unit = F.when(unit == "", DEFAULT_UNIT).otherwise(unit)
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
-
-
-def _rank(unit: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for i, u in enumerate(UNITS) for x in (u, i)])
-    return known[unit]
+    number = F.rtrim(text, F.lit("".join(sorted(set("".join(UNITS))))))
+    unit = F.substr(text, F.length(number) + 1)
+    value = F.when(unit.isin(["", *UNITS]), number.try_cast("double"))
+    named = F.when(unit == "", DEFAULT_UNIT).otherwise(unit)
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), named.alias("unit")))
+
+
+def _times(value: Column, unit: int, goal: int, exact: bool) -> Column:
+    """``value`` of one known unit in another; both are positions in ``UNITS``."""
+    if (unit < _KI) == (goal < _KI):
+        return value * F.lit((1000.0 if unit < _KI else 1024.0) ** (unit - goal))
+    if unit < _KI:
+        if exact:
+            return value * F.lit(1000.0 ** (unit - _K + 1)) / F.lit(1024.0 ** (goal - _KI + 1))
+        return value * F.lit(1.024) * F.lit(1000.0 ** ((goal - _KI) - (unit - _K)))
+    if exact:
+        return value * F.lit(1024.0 ** (unit - _KI + 1)) / F.lit(1000.0 ** (goal - _K + 1))
+    return value / F.lit(1.024) * F.lit(1000.0 ** ((unit - _KI) - (goal - _K)))
 
 
 def convert(value: Column, unit: Column, target: str, exact: bool = False) -> Column:
@@ -34,17 +42,8 @@ def convert(value: Column, unit: Column, target: str, exact: bool = False) -> Co
     which is what platform figures use; ``exact`` takes the true powers instead.
     """
     goal = UNITS.index(target)
-    rank = _rank(unit)
-    decimal = rank < _KI
-    if goal < _KI:
-        same = value * F.pow(F.lit(1000.0), rank - goal)
-        other = value / F.lit(1.024) * F.pow(F.lit(1000.0), (rank - _KI) - (goal - _K))
-        exactly = value * F.pow(F.lit(1024.0), rank - _KI + 1) / F.lit(1000.0 ** (goal - _K + 1))
-        first = decimal
-    else:
-        same = value * F.pow(F.lit(1024.0), rank - goal)
-        other = value * F.lit(1.024) * F.pow(F.lit(1000.0), (goal - _KI) - (rank - _K))
-        exactly = value * F.pow(F.lit(1000.0), rank - _K + 1) / F.lit(1024.0 ** (goal - _KI + 1))
-        first = ~decimal
-    cross = exactly if exact else other
-    return F.when(unit == target, value).when(first, same).otherwise(cross)
+    out = F.when(unit == target, value)
+    for position, name in enumerate(UNITS):
+        if position != goal:
+            out = out.when(unit == name, _times(value, position, goal, exact))
+    return out

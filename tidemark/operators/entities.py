@@ -263,18 +263,20 @@ def _identity(labels: Column) -> list[Column]:
 
 def _conditions(raw: Column) -> Column:
     """Newest transition first; equal times come out in reverse input order."""
-    keyed = F.transform(
+    plain = F.transform(
         raw,
+        lambda c: F.struct(
+            c["type"].alias("cond_type"),
+            _one_of(c["status"], CONDITION_STATUS).alias("status"),
+            c["reason"].alias("reason"),
+            c["message"].alias("message"),
+            _epoch_s(c["lastTransitionTime"]).alias("last_transition_s"),
+        ),
+    )
+    keyed = F.transform(
+        plain,
         lambda c, i: F.struct(
-            F.coalesce(_epoch_s(c["lastTransitionTime"]), F.lit(0)).alias("t"),
-            i.alias("i"),
-            F.struct(
-                c["type"].alias("cond_type"),
-                _one_of(c["status"], CONDITION_STATUS).alias("status"),
-                c["reason"].alias("reason"),
-                c["message"].alias("message"),
-                _epoch_s(c["lastTransitionTime"]).alias("last_transition_s"),
-            ).alias("c"),
+            F.coalesce(c["last_transition_s"], F.lit(0)).alias("t"), i.alias("i"), c.alias("c")
         ),
     )
     return F.transform(F.reverse(F.array_sort(keyed)), lambda e: e["c"])
@@ -359,10 +361,20 @@ def container_state(state: Column) -> Column:
     )
 
 
-def _resources_of(containers: Column, name: Column) -> Column:
-    """Resources of the last container called ``name`` in the same pod."""
-    same = F.filter(containers, lambda c: c["name"] == name)
-    return F.try_element_at(same, F.lit(-1))["resources"]
+def _limits_by_container(containers: Column) -> Column:
+    """Parsed limits and requests of each container, the last container of a name first."""
+    return F.reverse(
+        F.transform(
+            containers,
+            lambda c: F.struct(
+                c["name"].alias("name"),
+                quantity.parse(c["resources"]["limits"]["cpu"]).alias("cpu_limit"),
+                quantity.parse(c["resources"]["requests"]["cpu"]).alias("cpu_request"),
+                quantity.parse(c["resources"]["limits"]["memory"]).alias("memory_limit"),
+                quantity.parse(c["resources"]["requests"]["memory"]).alias("memory_request"),
+            ),
+        )
+    )
 
 
 def pod_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame:
@@ -370,28 +382,30 @@ def pod_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame
     p = F.col("_p")
     valid, _ = entity_quarantine(df, payload, POD, POD_LABELS)
     blank = F.lit("")
+    sizes = ["cpu_limit", "cpu_request", "memory_limit", "memory_request"]
 
     def container(c: Column) -> Column:
-        res = _resources_of(p["spec"]["containers"], c["name"])
         return F.struct(
             c["name"].alias("name"),
             c["image"].alias("image"),
             c["ready"].alias("ready"),
             c["restartCount"].alias("restart_count"),
             container_state(c["state"]).alias("state"),
-            quantity.parse(res["limits"]["cpu"]).alias("cpu_limit"),
-            quantity.parse(res["requests"]["cpu"]).alias("cpu_request"),
-            quantity.parse(res["limits"]["memory"]).alias("memory_limit"),
-            quantity.parse(res["requests"]["memory"]).alias("memory_request"),
+            F.get(F.filter("_limits", lambda r: r["name"] == c["name"]), F.lit(0)).alias("size"),
         )
 
-    return valid.select(
+    def flat(c: Column) -> Column:
+        own = [c[f].alias(f) for f in ("name", "image", "ready", "restart_count", "state")]
+        return F.struct(*own, *[c["size"][f].alias(f) for f in sizes])
+
+    sized = valid.withColumn("_limits", _limits_by_container(p["spec"]["containers"]))
+    return sized.select(
         *keep,
         *_identity(POD_LABELS(p)),
         _conditions(p["status"]["conditions"]).alias("conditions"),
         _one_of(p["status"]["phase"], POD_PHASES).alias("phase"),
         p["status"]["reason"].alias("reason"),
-        F.transform(p["status"]["containerStatuses"], container).alias("containers"),
+        F.transform(F.transform(p["status"]["containerStatuses"], container), flat).alias("containers"),
         F.coalesce(p["spec"]["nodeName"], blank).alias("node_name"),
         F.coalesce(p["status"]["hostIP"], blank).alias("host_ip"),
         F.coalesce(p["status"]["podIP"], blank).alias("pod_ip"),

@@ -13,11 +13,11 @@ def hot_keys(fact: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFram
 
     Fewer than ``share`` keys can qualify whatever the data, which is what bounds the broadcast.
     """
-    counts = fact.groupBy(F.struct(*on).alias("_key")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    weighted = counts.withColumn("_total", total)
-    return weighted.where(F.col("_n") * share > F.col("_total")).select(
-        "_key", F.ceil(F.col("_n") * share / F.col("_total")).cast("int").alias("_pieces")
+    counts = fact.groupBy(F.struct(*on).alias("_hot_key")).agg(F.count("*").alias("_hot_n"))
+    total = counts.agg(F.sum("_hot_n").alias("_hot_total")).scalar()
+    weighted = counts.withColumn("_hot_total", total)
+    return weighted.where(F.col("_hot_n") * share > F.col("_hot_total")).select(
+        "_hot_key", F.ceil(F.col("_hot_n") * share / F.col("_hot_total")).cast("int").alias("_hot_pieces")
     )
 
 
@@ -50,19 +50,19 @@ def skew_join(
     key = F.struct(*on)
     spread = F.xxhash64(*(spread_by or fact.columns))
     left = (
-        fact.withColumn("_key", key)
-        .join(hot, "_key", "left")
-        .withColumn("_piece", F.coalesce(F.pmod(spread, F.col("_pieces")).cast("int"), F.lit(0)))
-        .drop("_key", "_pieces")
+        fact.withColumn("_hot_key", key)
+        .join(hot, "_hot_key", "left")
+        .withColumn("_hot_piece", F.coalesce(F.pmod(spread, F.col("_hot_pieces")).cast("int"), F.lit(0)))
+        .drop("_hot_key", "_hot_pieces")
     )
-    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
+    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_hot_pieces"), F.lit(1)) - 1)
     right = (
-        dim.withColumn("_key", key)
-        .join(hot, "_key", "left")
-        .withColumn("_piece", F.explode(pieces))
-        .drop("_key", "_pieces")
+        dim.withColumn("_hot_key", key)
+        .join(hot, "_hot_key", "left")
+        .withColumn("_hot_piece", F.explode(pieces))
+        .drop("_hot_key", "_hot_pieces")
     )
-    return left.join(right, [*on, "_piece"], how).drop("_piece")
+    return left.join(right, [*on, "_hot_piece"], how).drop("_hot_piece")
 
 
 def listed(
