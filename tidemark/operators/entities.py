@@ -361,6 +361,11 @@ def container_state(state: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _limits_by_container(containers: Column) -> Column:
     """Parsed limits and requests of each container, the last container of a name first."""
     return F.reverse(
@@ -384,28 +389,27 @@ def pod_snapshot(df: DataFrame, payload: str, keep: list[str] = ()) -> DataFrame
     blank = F.lit("")
     sizes = ["cpu_limit", "cpu_request", "memory_limit", "memory_request"]
 
-    def container(c: Column) -> Column:
+    def container(c: Column, limits: Column) -> Column:
+        own = [c[f].alias(n) for f, n in (("name", "name"), ("image", "image"), ("ready", "ready"))]
+        size = F.get(F.filter(limits, lambda r: r["name"] == c["name"]), F.lit(0))
         return F.struct(
-            c["name"].alias("name"),
-            c["image"].alias("image"),
-            c["ready"].alias("ready"),
+            *own,
             c["restartCount"].alias("restart_count"),
             container_state(c["state"]).alias("state"),
-            F.get(F.filter("_limits", lambda r: r["name"] == c["name"]), F.lit(0)).alias("size"),
+            *[size[f].alias(f) for f in sizes],
         )
 
-    def flat(c: Column) -> Column:
-        own = [c[f].alias(f) for f in ("name", "image", "ready", "restart_count", "state")]
-        return F.struct(*own, *[c["size"][f].alias(f) for f in sizes])
-
-    sized = valid.withColumn("_limits", _limits_by_container(p["spec"]["containers"]))
-    return sized.select(
+    containers = _let(
+        _limits_by_container(p["spec"]["containers"]),
+        lambda limits: F.transform(p["status"]["containerStatuses"], lambda c: container(c, limits)),
+    )
+    return valid.select(
         *keep,
         *_identity(POD_LABELS(p)),
         _conditions(p["status"]["conditions"]).alias("conditions"),
         _one_of(p["status"]["phase"], POD_PHASES).alias("phase"),
         p["status"]["reason"].alias("reason"),
-        F.transform(F.transform(p["status"]["containerStatuses"], container), flat).alias("containers"),
+        containers.alias("containers"),
         F.coalesce(p["spec"]["nodeName"], blank).alias("node_name"),
         F.coalesce(p["status"]["hostIP"], blank).alias("host_ip"),
         F.coalesce(p["status"]["podIP"], blank).alias("pod_ip"),

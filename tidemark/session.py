@@ -15,6 +15,10 @@ def local_session(cpus: str | int = 8, app: str = "tidemark", **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g",
+        # Wide projections of nested payloads outgrow what the JIT compiles as one method.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        # A user's rows of one task are merged into sessions before they are shuffled.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
