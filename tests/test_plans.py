@@ -155,11 +155,12 @@ def test_skew_join(spark, no_broadcast, how):
 
 
 def test_lists_in_pieces(spark, no_broadcast):
-    df = spark.createDataFrame([(1 if i < 500 else 2, i) for i in range(520)], "k int, v int")
+    keys = [1 if i < 500 else 2 if i < 510 else None for i in range(520)]
+    df = spark.createDataFrame(list(zip(keys, range(520))), "k int, v int")
     lists = lookup.listed(df, ["k"], {"vs": F.col("v")}, piece_rows=50).collect()
     assert sorted(v for r in lists for v in r.vs) == list(range(520))
     assert max(len(r.vs) for r in lists) < 120
-    assert [r.piece for r in lists if r.k == 2] == [0]
+    assert [r.piece for r in lists if r.k == 2] == [0] == [r.piece for r in lists if r.k is None]
 
 
 def test_operators_without_broadcast(spark, no_broadcast):

@@ -208,11 +208,19 @@ def savepoint_status(df: DataFrame, payload: str, ids: list[str]) -> DataFrame:
 
 
 def savepoint_watch(
-    polls: DataFrame, trigger: list[str], seq: str, block_rows: int | None = None
+    polls: DataFrame,
+    trigger: list[str],
+    seq: str,
+    block_rows: int | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
-    """Changed states of each trigger until it is completed."""
+    """Changed states of each trigger until it is completed.
+
+    ``block`` from the unparsed polls spares a pass over the payloads.
+    """
     cols = ["state", "location", "failure_cause"]
-    return changes(polls, trigger, seq, cols, block_rows, until=F.col("state") == "Completed")
+    done = F.col("state") == "Completed"
+    return changes(polls, trigger, seq, cols, block_rows, until=done, block=block)
 
 
 def _missing(p: Column, schema: str, labels: Callable) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.status import changes, is_active
 from tidemark.plans.lookup import listed, skew_join
+from tidemark.plans.ordered import block_of
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -141,7 +142,8 @@ def snapshot_changed(
 ) -> DataFrame:
     """Polls whose content differs from the owner's previous poll."""
     hashed = content_hash(polls, [*owner, poll], content)
-    return changes(hashed, owner, poll, ["content_hash", "n_rows"], block_rows)
+    block = block_of(polls, poll, block_rows)
+    return changes(hashed, owner, poll, ["content_hash", "n_rows"], block=block)
 
 
 def snapshot_reconcile(

@@ -34,9 +34,12 @@ def changes(
     cols: list[str],
     block_rows: int | None = None,
     until: Column | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
     """Rows that differ in ``cols`` from the previous row of their key; the first row is kept.
 
+    ``block`` is a ``block_of`` taken from a table that is cheaper to read than ``df``.
+
     With ``until``, which may depend on ``cols`` alone, a key ends with its first row for which it
     holds: that row always is a change, so one scan does for both.
     """
@@ -44,7 +47,8 @@ def changes(
     if until is not None:
         df = df.withColumn("_hit", F.coalesce(until, F.lit(False)))
         carries["_hit"] = Carry(F.max("_hit"), "max")
-    both = with_carry(df, keys, carries, block_of(df, seq, block_rows))
+    cut = block if block is not None else block_of(df, seq, block_rows)
+    both = with_carry(df, keys, carries, cut)
     state, window = F.struct(*cols), block_window(keys, [seq])
     marked = both.withColumn("_same", state.eqNullSafe(F.lag(state).over(window)))
     if until is None:

@@ -76,13 +76,17 @@ def listed(
     A key with few rows has the single piece 0; a key with very many has several rows instead of
     one array that no task could hold.
     """
-    rows = df.select(*keys, *[value.alias(name) for name, value in lists.items()])
-    counts = rows.groupBy(*keys).agg(
+    # The owner as one struct, so that NULL keys find their counts too.
+    rows = df.select(
+        F.struct(*keys).alias("_owner"), *[value.alias(name) for name, value in lists.items()]
+    )
+    counts = rows.groupBy("_owner").agg(
         F.ceil(F.count("*") / F.lit(piece_rows)).cast("int").alias("_pieces")
     )
-    cut = skew_join(rows, counts, keys).withColumn(
+    cut = skew_join(rows, counts, ["_owner"]).withColumn(
         "piece", F.pmod(F.xxhash64(*lists), F.col("_pieces")).cast("int")
     )
-    return cut.groupBy(*keys, "piece").agg(
+    grouped = cut.groupBy("_owner", "piece").agg(
         *[F.sort_array(F.collect_list(name)).alias(name) for name in lists]
     )
+    return grouped.select("_owner.*", "piece", *lists)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions import paths, settings
+from tidemark.functions import settings
 from tidemark.operators import normalize
 from tidemark.queries.base import events, lineitem, orders
 from tidemark.sources.tables import table

@@ -224,7 +224,7 @@ class WordSplit:
 
 
 def q_udf_table(spark, d):
-    split = F.udtf(WordSplit, returnType="place: int, word: string")
+    split = F.udtf(WordSplit, returnType="place: int, word: string", useArrow=True)
     spark.udtf.register("word_split", split)
     parts = table(spark, d, "part").select("p_partkey", "p_name")
     parts.createOrReplaceTempView("named_parts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import entities, status
+from tidemark.plans.ordered import block_of
 from tidemark.queries.base import (
     choose,
     epoch_ms,
@@ -144,7 +145,8 @@ def _savepoint_polls(spark, d):
 
 
 def q_savepoint_watch(spark, d):
-    watched = entities.savepoint_watch(_savepoint_polls(spark, d), ["user_id"], "event_id")
+    polls, block = _savepoint_polls(spark, d), block_of(events(spark, d), "event_id")
+    watched = entities.savepoint_watch(polls, ["user_id"], "event_id", block=block)
     return watched.select("user_id", "event_id", "state", "location", "is_completed", "is_failed")
 
 
