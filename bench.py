@@ -28,7 +28,7 @@ HEADLINE = [
     "stream_tumbling", "stream_changes",
 ]
 
-LONG_RUN = 5.0
+LONG_RUN = 2.5
 
 
 def run_once(build, spark, folder: str) -> float:
