@@ -6,14 +6,16 @@ each group, and a tree node at most the sum over the node's largest counts; the
 allow a link, and the pairs that survive are verified on the whole sets.
 
 The index is dealt out over the cluster by *tiles*. If tokens are ordered by hash, linked sets of sizes a <= b share
-at least l(a) tokens among their first n - ceil(3n/4) + l(n), for any rising l; here l(n) = max(1, n // 16). So only sets with that many tokens
+at least l(a) tokens among their first n - ceil(3n/4) + l(n), for any rising l; here l(n) = max(1, n // 8). So only sets with that many tokens
 found in another set's prefix can have a link, and linked sets meet in the tile of every prefix token they share.
 
 1. Each task sends the prefix tokens of its distinct sets; copies of a set within the task are linked at once.
 2. Tokens that two documents share go back to their documents, which come out as candidates with their sets.
 3. First round: candidates meet in the tiles of their ``FIRST`` smallest shared tokens; members that are connected are not compared again.
-4. Second round, which makes the result whole: in every tile of every shared token, each pair from different components
-   that the R-tree lets through is verified.
+4. Second round, which makes the result whole: tokens that different components share go back to their documents, which send their
+   count vectors to these tiles; each pair from different components that the R-tree lets through is verified. The first token that linked
+   sets share has at most a seventh of both sizes before it (all of that is in one set only), so a pair is looked at only in
+   tiles for which that holds.
 
 No group is ever turned into all its pairs. Null texts, empty texts and texts without words have size 0 and no link. Rows
 with the same ``doc_id`` (null is an id too, lower than all others) are one node of the graph, with the links of each of its texts. Sets are compared by
@@ -36,19 +38,20 @@ from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
 
 WORDS = 5
-FIRST = 2
+FIRST = 1
 LEAF = 64
 FLUSH = 1_500_000
 TOKEN, META, LINK, SHARED = 0, 1, 2, 3
 TOKENS = [("token", "<u8"), ("doc", "<i8")]
 METAS = [("doc", "<i8"), ("size", "<i8")]
 LINKS = [("a", "<i8"), ("b", "<i8")]
+ROOTED = [("token", "<u8"), ("doc", "<i8"), ("root", "<i8")]
 BLOBS = "dest int, kind int, blob binary"
-CANDIDATE = "doc long, size long, shared binary, tokens binary"
+CANDIDATE = "doc long, size long, shared binary, ranks binary, counts binary, tokens binary"
 
 
 def least_shared(size: int) -> int:
-    return max(1, size // 16)
+    return max(1, size // 8)
 
 
 def prefix_length(size: int) -> int:
@@ -56,17 +59,21 @@ def prefix_length(size: int) -> int:
 
 
 def groups_of(size: int) -> int:
-    """Groups that tokens are hashed into: more for larger sets, whose counts would be alike otherwise."""
-    return 64 if size < 512 else 256 if size < 4096 else 1024
+    """Groups that tokens are hashed into: about as many as tokens, or else all sets of a size have the same counts."""
+    return 128 if size < 128 else 512 if size < 1024 else 4096
 
 
 def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
     """Counts by the top bits, so that adding neighbours up gives the counts for fewer groups."""
-    return np.bincount((tokens >> np.uint64(54)).astype(np.int64) * groups >> 10, minlength=groups).astype(np.int32)
+    return np.bincount((tokens >> np.uint64(52)).astype(np.int64) * groups >> 12, minlength=groups)
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
 
 def coarser(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts.reshape(groups, -1).sum(1).astype(np.int32)
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1)
 
 
 class RTree:
@@ -74,6 +81,9 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
         self.points, self.sizes, self.leaf = points, sizes, leaf
+        if len(points) <= leaf:  # one leaf: nothing to descend
+            self.order, self.levels, self.bounds = np.arange(len(points)), [], []
+            return
         order, stack, runs = np.arange(len(points)), [(0, len(points))], []
         while stack:
             a, b = stack.pop()
@@ -81,7 +91,7 @@ class RTree:
                 runs.append((a, b))
                 continue
             own = order[a:b]
-            spread = points[own].max(0) - points[own].min(0)
+            spread = points[own].max(0).astype(np.int64) - points[own].min(0)
             by = sizes[own] if sizes[own].max() * 3 > sizes[own].min() * 4 else points[own, int(np.argmax(spread))]
             order[a:b] = own[np.argsort(by, kind="stable")]
             middle = (a + b) // 2
@@ -98,22 +108,22 @@ class RTree:
             self.levels.append(level)
         self.bounds = [(np.stack([n[0] for n in lv]), np.array([n[1] for n in lv]), np.array([n[2] for n in lv])) for lv in self.levels]
 
-    def near(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the points that the bound cannot tell from a link to this one."""
-        nodes = np.arange(len(self.levels[-1]))
+    def near(self, point: np.ndarray, size: int, able: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the points (of the able ones) that the bound cannot tell from a link to this one."""
+        nodes = np.arange(len(self.levels[-1]) if self.levels else len(self.order))
         for level in range(len(self.levels) - 1, -1, -1):
             high, least, most = (x[nodes] for x in self.bounds[level])
             kept = (4 * most >= 3 * size) & (3 * least <= 4 * size)
-            kept &= 7 * np.minimum(high, point).sum(1) >= 3 * (size + np.maximum(least, -(-3 * size // 4)))
+            kept &= 7 * np.minimum(high, point).sum(1, dtype=np.int64) >= 3 * (size + np.maximum(least, -(-3 * size // 4)))
             nodes = nodes[kept]
             if not len(nodes):
                 return nodes
             nodes = np.concatenate([self.levels[level][n][3] for n in nodes])
         found = self.order[nodes]
         sizes = self.sizes[found]
-        able = (4 * sizes >= 3 * size) & (3 * sizes <= 4 * size)
-        found = found[able]
-        return found[7 * np.minimum(self.points[found], point).sum(1) >= 3 * (size + self.sizes[found])]
+        fits = (4 * sizes >= 3 * size) & (3 * sizes <= 4 * size)
+        found = found[fits if able is None else fits & able[found]]
+        return found[7 * np.minimum(self.points[found], point).sum(1, dtype=np.int64) >= 3 * (size + self.sizes[found])]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -215,10 +225,12 @@ def _candidates(docs: pa.Table, shared: pa.Table) -> pa.Table:
                     begin, end = at[doc]
                     common = np.intersect1d(own[: prefix_length(len(own))], token[begin:end], assume_unique=False)
                     if len(own) and len(common) >= least_shared(-(-3 * len(own) // 4)):
-                        out.append((doc, len(own), common.tobytes(), own.tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [()] * 4
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc", "size", "shared", "tokens"), columns, kinds, strict=True)})
+                        ranks = np.searchsorted(own, common).astype("<u4")
+                        counts = small(count_vector(own, groups_of(len(own))))
+                        out.append((doc, len(own), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [()] * 6
+    names = [f.split()[0] for f in CANDIDATE.split(", ")]
+    return pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size") else pa.binary()) for n, c in zip(names, columns, strict=True)})
 
 
 def _first_tiles(buckets: int):
@@ -241,7 +253,7 @@ def tile_links(docs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     """Links that connect the members of one tile as all of its links would."""
     sizes = np.array([len(s) for s in sets])
     groups = groups_of(int(sizes.max()))
-    tree = RTree(np.stack([count_vector(s, groups) for s in sets]), sizes)
+    tree = RTree(small(np.stack([count_vector(s, groups) for s in sets])), sizes)
     group, out = np.arange(len(sets)), []
     for i in range(len(sets)):
         if (group == group[i]).all():
@@ -265,49 +277,97 @@ def _first_round(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _second_tiles(buckets: int):
-    """A candidate's vector to every bucket that holds a shared token of it, with the tokens there."""
-    names = ["dest", "doc", "root", "size", "counts", "tokens"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+def _rooted(buckets: int):
+    """A candidate's shared tokens, with its component, to the tokens' buckets."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                shared = np.frombuffer(r["shared"], "<u8")
-                counts = count_vector(np.frombuffer(r["tokens"], "<u8"), groups_of(r["size"])).astype("<u2").tobytes()
-                dest = (shared & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets
-                for d in np.unique(dest).tolist():
-                    out.append((d, r["doc"], r["root"], r["size"], counts, shared[dest == d].tobytes()))
-            columns = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            shared = [np.frombuffer(x, "<u8") for x in batch.column("shared").to_pylist()]
+            sizes = [len(x) for x in shared]
+            if not sum(sizes):
+                continue
+            rows = {
+                "token": np.concatenate(shared),
+                "doc": np.repeat(batch.column("doc").to_numpy(), sizes), "root": np.repeat(batch.column("root").to_numpy(), sizes),
+            }
+            yield from _blobs(dealt(rows, (rows["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, ROOTED)).combine_chunks().to_batches()
 
     return step
 
 
+def _crossing(table: pa.Table) -> pa.Table:
+    """For each document the tokens of this bucket that another component has as well."""
+    rows = _of_kind(table, TOKEN, ROOTED)
+    order = np.lexsort((rows["root"], rows["token"]))
+    token, root = rows["token"][order], rows["root"][order]
+    begin = np.ones(len(token), bool)
+    begin[1:] = token[1:] != token[:-1]
+    group = np.cumsum(begin) - 1
+    differs = np.zeros(len(token), bool)
+    differs[1:] = ~begin[1:] & (root[1:] != root[:-1])
+    several = np.bincount(group, weights=differs, minlength=1) > 0
+    kept = order[several[group]] if len(order) else order
+    by_doc = kept[np.lexsort((rows["token"][kept], rows["doc"][kept]))]
+    doc, token = rows["doc"][by_doc], rows["token"][by_doc]
+    ids, first = np.unique(doc, return_index=True)
+    blobs = [x.tobytes() for x in np.split(token, first[1:])] if len(ids) else []
+    dest = table["dest"][0].as_py()
+    return pa.table({"doc": pa.array(ids, pa.int64()), "dest": pa.array([dest] * len(ids), pa.int32()), "crossing": pa.array(blobs, pa.binary())})
+
+
+def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranks of the crossing tokens in the place of all shared ones."""
+    for batch in batches:
+        ranks = []
+        for shared, every, own in zip(*(batch.column(n).to_pylist() for n in ("shared", "ranks", "crossing")), strict=True):
+            at = np.searchsorted(np.frombuffer(shared, "<u8"), np.frombuffer(own, "<u8"))
+            ranks.append(np.frombuffer(every, "<u4")[at].tobytes())
+        columns = [batch.column(n) for n in ("dest", "doc", "root", "size", "counts", "crossing")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(ranks, pa.binary())], ["dest", "doc", "root", "size", "counts", "tokens", "ranks"])
+
+
 def _second_round(table: pa.Table) -> pa.Table:
     """Pairs of one tile and different components that the R-tree lets through."""
     doc, root, size = (table[n].to_numpy() for n in ("doc", "root", "size"))
-    counts = [np.frombuffer(c, "<u2") for c in table["counts"].to_pylist()]
+    groups_here = np.array([groups_of(int(n)) for n in size], np.int64)
+    counts = [np.frombuffer(c, np.uint8 if len(c) == g else np.uint32) for c, g in zip(table["counts"].to_pylist(), groups_here, strict=True)]
     tokens = [np.frombuffer(t, "<u8") for t in table["tokens"].to_pylist()]
-    token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+    token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+    rank = np.concatenate([*(np.frombuffer(r, "<u4") for r in table["ranks"].to_pylist()), np.zeros(0, np.uint32)]).astype(np.int64)
     row = np.repeat(np.arange(len(doc)), [len(t) for t in tokens])
     order = np.lexsort((doc[row], token))
     found: set[tuple[int, int]] = set()
+    looked_at: set[bytes] = set()
     for members in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
         rows = row[members]
-        if len(rows) < 2 or (root[rows] == root[rows[0]]).all():
+        # The same documents met at a smaller token, with less before it: all their pairs have been looked at.
+        if len(rows) < 2 or rows.tobytes() in looked_at:
             continue
-        groups = min(len(counts[r]) for r in rows)
-        tree = RTree(np.stack([coarser(counts[r], groups) for r in rows]), size[rows])
-        for k, r in enumerate(rows):
-            for j in tree.near(tree.points[k], int(size[r])).tolist():
-                if root[rows[j]] != root[r] and doc[r] < doc[rows[j]]:
-                    found.add((int(doc[r]), int(doc[rows[j]])))
+        looked_at.add(rows.tobytes())
+        for a, b in tile_pairs(doc[rows], root[rows], size[rows], rank[members], [counts[r] for r in rows]):
+            found.add((a, b))
     a, b = zip(*sorted(found), strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def tile_pairs(doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that sizes, ranks and count vectors allow, each at the groups of its smaller set."""
+    groups = np.array([len(c) for c in counts])
+    lowest = np.array([groups_of(-(-3 * int(n) // 4)) for n in size])
+    for level in np.unique(groups).tolist():
+        own = np.flatnonzero((lowest <= level) & (groups >= level))
+        if len(own) < 2 or (root[own] == root[own[0]]).all():
+            continue
+        tree = RTree(small(np.stack([coarser(counts[k], level) for k in own])), size[own])
+        for k, i in enumerate(own.tolist()):
+            if groups[i] != level:
+                continue
+            able = (root[own] != root[i]) & ((groups[own] > level) | (doc[own] > doc[i])) & (7 * (before[own] + before[i]) <= size[own] + size[i])
+            if able.any():
+                for j in tree.near(tree.points[k], int(size[i]), able).tolist():
+                    yield int(min(doc[i], doc[own[j]])), int(max(doc[i], doc[own[j]]))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
@@ -340,8 +400,12 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = _unpacked_rows(LINK, LINKS, met, "a long, b long")
     first = copies.unionByName(tiles.groupBy("dest").applyInArrow(_first_round, "a long, b long"))
     roots = components(first)
-    placed = found.join(roots, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("root", "doc").alias("root"), "size", "shared", "tokens")
-    second = placed.mapInArrow(_second_tiles(partitions), "dest int, doc long, root long, size long, counts binary, tokens binary")
+    placed = found.drop("tokens").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted = placed.select("doc", "root", "shared").mapInArrow(_rooted(partitions), BLOBS)
+    crossing = rooted.groupBy("dest").applyInArrow(_crossing, "doc long, dest int, crossing binary")
+    second = placed.join(crossing, "doc").mapInArrow(
+        _with_ranks, "dest int, doc long, root long, size long, counts binary, tokens binary, ranks binary"
+    )
     pairs = second.groupBy("dest").applyInArrow(_second_round, "a long, b long").distinct()
     sets = found.select("doc", "tokens")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), "a").join(
