@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-MOST_CACHED = 400_000
+MOST_CACHED = 700_000
 
 
 class PartCache:
@@ -17,7 +17,7 @@ class PartCache:
         """Ids of texts given as lists of parts; parts not seen before are encoded in one batch."""
         if len(self.known) > self.most:
             self.known = {}
-        new = list({part for parts in texts for part in parts}.difference(self.known))
+        new = list(set().union(*texts).difference(self.known))
         self.known.update(zip(new, self.encode(new), strict=True))
         ids = self.known.__getitem__
         return [b"".join(map(ids, parts)) for parts in texts]

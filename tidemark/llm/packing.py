@@ -14,6 +14,7 @@ own. An empty table gives no rows. Further columns do not matter.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,15 +42,48 @@ PIECES = (
 )
 
 
-@lru_cache(None)
-def _cache(path: str) -> PartCache:
-    tokenizer = Tokenizer.from_file(path)
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+class WordEncoder:
+    """Ids of words. The vocabulary's steps split a word of Latin letters from a full stop or comma behind it and change
+    nothing but its case, so such words go to the library's model alone; all other words take all of its steps."""
 
-    def encode(parts: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks = {m: self._all_steps([m])[0] for m in (b".", b",")}
 
-    return PartCache(encode)
+    def _all_steps(self, parts: list[bytes]) -> list[bytes]:
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+
+    def _letters_only(self, part: bytes) -> bytes | None:
+        mark = self.marks.get(part[-1:], b"")
+        word = (part[:-1] if mark else part).decode().lower()
+        if not word.isalpha() or max(word) > "\u024f":
+            return None
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return pack_ids([t.id for t in found]) + mark
+
+    def __call__(self, parts: list[bytes]) -> list[bytes]:
+        done = [self._letters_only(p) for p in parts]
+        others = [k for k, ids in enumerate(done) if ids is None]
+        for k, ids in zip(others, self._all_steps([parts[k] for k in others]), strict=True):
+            done[k] = ids
+        return done
+
+
+@lru_cache(None)
+def _cache(path: str) -> PartCache:
+    return PartCache(WordEncoder(path))
 
 
 def encode_texts(texts: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
