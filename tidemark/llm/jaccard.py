@@ -38,14 +38,14 @@ from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
 
 WORDS = 5
-FIRST = 1
+FIRST = 3
 LEAF = 64
 FLUSH = 1_500_000
 TOKEN, META, LINK, SHARED = 0, 1, 2, 3
 TOKENS = [("token", "<u8"), ("doc", "<i8")]
 METAS = [("doc", "<i8"), ("size", "<i8")]
 LINKS = [("a", "<i8"), ("b", "<i8")]
-ROOTED = [("token", "<u8"), ("doc", "<i8"), ("root", "<i8")]
+ROOTED = [("token", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("excess", "<i4")]
 BLOBS = "dest int, kind int, blob binary"
 CANDIDATE = "doc long, size long, shared binary, ranks binary, counts binary, tokens binary"
 
@@ -286,8 +286,9 @@ def _rooted(buckets: int):
             sizes = [len(x) for x in shared]
             if not sum(sizes):
                 continue
+            ranks = np.concatenate([np.frombuffer(x, "<u4") for x in batch.column("ranks").to_pylist()]).astype(np.int64)
             rows = {
-                "token": np.concatenate(shared),
+                "token": np.concatenate(shared), "excess": 7 * ranks - np.repeat(batch.column("size").to_numpy(), sizes),
                 "doc": np.repeat(batch.column("doc").to_numpy(), sizes), "root": np.repeat(batch.column("root").to_numpy(), sizes),
             }
             yield from _blobs(dealt(rows, (rows["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, ROOTED)).combine_chunks().to_batches()
@@ -296,17 +297,28 @@ def _rooted(buckets: int):
 
 
 def _crossing(table: pa.Table) -> pa.Table:
-    """For each document the tokens of this bucket that another component has as well."""
+    """For each document the tokens of this bucket at which it may first meet another component."""
     rows = _of_kind(table, TOKEN, ROOTED)
-    order = np.lexsort((rows["root"], rows["token"]))
-    token, root = rows["token"][order], rows["root"][order]
+    order = np.lexsort((rows["doc"], rows["excess"], rows["token"]))
+    token, root, excess = (rows[n][order] for n in ("token", "root", "excess"))
+    excess = excess.astype(np.int64)
+    if not len(token):
+        return pa.table({"doc": pa.array([], pa.int64()), "dest": pa.array([], pa.int32()), "crossing": pa.array([], pa.binary())})
     begin = np.ones(len(token), bool)
     begin[1:] = token[1:] != token[:-1]
-    group = np.cumsum(begin) - 1
-    differs = np.zeros(len(token), bool)
-    differs[1:] = ~begin[1:] & (root[1:] != root[:-1])
-    several = np.bincount(group, weights=differs, minlength=1) > 0
-    kept = order[several[group]] if len(order) else order
+    first, group = np.flatnonzero(begin), np.cumsum(begin) - 1
+    # Two sets' ranks may sum up to a seventh of their sizes: the least excess, and the least of another component than that one's.
+    other = np.where(root != root[first][group], excess, np.iinfo(np.int32).max)
+    partner = np.where(root != root[first][group], excess[first][group], np.minimum.reduceat(other, first)[group])
+    kept = order[excess + partner <= 0]
+    # Tokens with the same documents as a smaller one add no pair.
+    kept = kept[np.lexsort((rows["doc"][kept], rows["token"][kept]))]
+    tiles, seen = [], set()
+    for members in np.split(kept, np.flatnonzero(np.diff(rows["token"][kept])) + 1):
+        if (key := rows["doc"][members].tobytes()) not in seen:
+            seen.add(key)
+            tiles.append(members)
+    kept = np.concatenate(tiles)
     by_doc = kept[np.lexsort((rows["token"][kept], rows["doc"][kept]))]
     doc, token = rows["doc"][by_doc], rows["token"][by_doc]
     ids, first = np.unique(doc, return_index=True)
@@ -401,7 +413,7 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = copies.unionByName(tiles.groupBy("dest").applyInArrow(_first_round, "a long, b long"))
     roots = components(first)
     placed = found.drop("tokens").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
-    rooted = placed.select("doc", "root", "shared").mapInArrow(_rooted(partitions), BLOBS)
+    rooted = placed.select("doc", "root", "size", "shared", "ranks").mapInArrow(_rooted(partitions), BLOBS)
     crossing = rooted.groupBy("dest").applyInArrow(_crossing, "doc long, dest int, crossing binary")
     second = placed.join(crossing, "doc").mapInArrow(
         _with_ranks, "dest int, doc long, root long, size long, counts binary, tokens binary, ranks binary"
