@@ -58,8 +58,10 @@ def groups(docs: DataFrame, digests: Sequence = DIGESTS) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    ids = groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = groups(docs.select("doc_id", "text")).where("kept")
+    ids = found.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    same = F.sha2(F.encode(text_or_empty(), "UTF-8"), 256) == F.col("_kept_text")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & same, "left_semi")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,12 +156,10 @@ class Codec:
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         texts = [p.decode() for p in parts]
         ids = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
-        # The library puts a marker before any text; parts without one are shown to it behind a line end.
-        marked = [t[0] == MARK for t in texts]
-        seen = self.witness.encode([t[1:] if m else "\n" + t for t, m in zip(texts, marked, strict=True)], num_threads=1)
+        # The library puts a marker before any text, so it is shown each part behind a line end.
         skip = len(self.witness.encode("\n"))
-        for part, own, other, m in zip(parts, ids, seen, marked, strict=True):
-            if own != (other if m else other[skip:]):
+        for part, own, other in zip(parts, ids, self.witness.encode(["\n" + t for t in texts], num_threads=1), strict=True):
+            if own != other[skip:]:
                 self.differing.add(part)
         return [np.array(i, "<u4").tobytes() for i in ids]
 
