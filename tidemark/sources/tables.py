@@ -15,13 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def table_stream(
     spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """The same files as an unbounded table; new files matching the name are picked up."""
-    reader = spark.readStream.schema(table(spark, folder, name).schema).option(
-        "pathGlobFilter", f"{name}*.parquet"
-    )
+    """The same files as an unbounded table, which may be one file or a folder of files."""
+    own = table(spark, folder, name)
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(own.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    files = own.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(path)
 
 
 def inline_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
