@@ -441,8 +441,8 @@ def grouped(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
     _, roots = joined_sets(docs.select("doc_id", "text"))
-    gone = roots.where("node <> root").select("node")
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("node"), "left_anti")
+    gone = roots.where("node <> root").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
