@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths, quantity, settings
-from tidemark.operators import entities, keyed, metrics, normalize
+from tidemark.operators import entities, keyed, metrics, normalize, results, status
+from tidemark.queries.relational import value_band
 
 
 def one(spark, *cols):
@@ -149,3 +150,31 @@ def test_deny_list(spark):
         [(" kubernetes.namespace ", "x"), ("a ", " b "), ("c", " "), ("pipeline.jars", "y")], "key string, value string"
     )
     assert [tuple(r) for r in normalize.config_deny_list(df, "key", "value").collect()] == [("a", "b")]
+
+
+def test_map_columns_in_newest_rows(spark):
+    log = spark.createDataFrame(
+        [("a", "x", "Added", 1, {"v": 1}), ("a", "x", "Modified", 2, {"v": 2}), ("a", "y", "Added", 3, None)],
+        "o string, n string, kind string, seq long, m map<string,int>",
+    )
+    now = keyed.apply_change_events(log, ["o"], "n", "kind", "seq").collect()
+    assert {(r.n, r.seq): r.m for r in now} == {("x", 2): {"v": 2}, ("y", 3): None}
+    last = status.last_state(log, ["o", "n"], "seq", F.col("kind") == "Added").collect()
+    assert {(r.n, r.seq): r.m for r in last} == {("x", 1): {"v": 1}, ("y", 3): None}
+
+
+def test_json_time_where_clocks_change(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["2024-03-10T02:30:00Z", "1969-12-31T23:59:59.25Z"]
+        times = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("timestamp"))
+        rows = results.rows_to_json(times).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.fields for r in rows] == ['["2024-03-10T02:30:00Z"]', '["1969-12-31T23:59:59.25Z"]']
+
+
+def test_value_band_of_null(spark):
+    values = spark.createDataFrame([(1.0,), (None,), (100.0,)], "v double")
+    assert [r[0] for r in values.select(value_band("v")).collect()] == ["low", None, "high"]

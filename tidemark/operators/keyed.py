@@ -170,7 +170,7 @@ def apply_change_events(
     last = (
         events.where(F.col(kind).isin("Added", "Modified", "Deleted"))
         .groupBy(*owner, name)
-        .agg(F.max(F.struct(seq, kind, *rest)).alias("_last"))
+        .agg(F.max_by(F.struct(seq, kind, *rest), F.struct(seq)).alias("_last"))
         .where(F.col("_last")[kind] != "Deleted")
     )
     reset = events.where(F.col(kind) == "Reset").groupBy(*owner).agg(F.max(seq).alias("_reset"))

@@ -13,18 +13,21 @@ DEFAULT_CAPACITY = 1024
 SHALLOW_ROWS = 10_000
 
 
-def _trim_fraction(text: Column) -> Column:
-    return F.regexp_replace(text, r"\.?0+$", "")
+def _iso(wall_clock: Column) -> Column:
+    """Text of a timestamp without zone; a cast, since formatting would take it for a time of the session's zone."""
+    return F.translate(wall_clock.cast("string"), " ", "T")
 
 
 def _plain(value: Column, kind: T.DataType) -> Column:
     """``value`` with timestamps as ISO-8601 text and NULL map keys as '' all the way down."""
     if isinstance(kind, T.TimestampNTZType):
-        return _trim_fraction(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        return _iso(value)
     if isinstance(kind, T.TimestampType):
-        utc = F.to_utc_timestamp(value, F.current_timezone())
-        text = _trim_fraction(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-        return F.concat(text, F.lit("Z"))
+        # From the epoch: in a zone that changes its clocks, a shifted wall clock may not exist.
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        micros = F.unix_micros(value).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+        utc = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(18,6)"))
+        return F.concat(_iso(utc), F.lit("Z"))
     if isinstance(kind, T.StructType):
         fields = [_plain(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*fields))

@@ -81,11 +81,13 @@ def take_until_terminal(
 
 
 def last_state(df: DataFrame, keys: list[str], seq: str, is_end: Column) -> DataFrame:
-    """The first terminal row of each key, else its newest row, in one aggregation."""
+    """The first terminal row of each key by ``seq``, else its newest row, in one aggregation."""
     rest = [c for c in df.columns if c not in keys and c != seq]
     row = F.struct(seq, *rest)
+    # Only ``seq`` is compared, so that a column may be a map; as a struct, so that a NULL sorts first.
+    place = F.struct(seq)
     found = df.groupBy(*keys).agg(
-        F.coalesce(F.min(F.when(is_end, row)), F.max(row)).alias("_last")
+        F.coalesce(F.min_by(row, F.when(is_end, place)), F.max_by(row, place)).alias("_last")
     )
     return found.select(*keys, "_last.*")
 

@@ -186,7 +186,8 @@ def q_join_asof(spark, d):
 @F.pandas_udf(T.StringType())
 def value_band(value: pd.Series) -> pd.Series:
     """Size class of a value."""
-    return pd.cut(value, [-np.inf, 10, 100, np.inf], labels=["low", "mid", "high"], right=False).astype(str)
+    bands = pd.cut(value, [-np.inf, 10, 100, np.inf], labels=["low", "mid", "high"], right=False)
+    return bands.astype(object).where(value.notna(), None)
 
 
 def q_udf_scalar(spark, d):
@@ -264,7 +265,8 @@ FROM (SELECT * FROM events WHERE event_type = 'purchase') s
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
   ON c.user_id = s.user_id AND c.event_id <= s.event_id""",
     "udf_scalar": """
-SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 100 THEN 'mid' ELSE 'high' END AS band FROM events""",
+SELECT event_id, CASE WHEN value < 10 THEN 'low' WHEN value < 100 THEN 'mid'
+       WHEN value IS NOT NULL THEN 'high' END AS band FROM events""",
     "udf_agg": """
 SELECT event_type, count(*) AS n, CAST(floor(sum(cents) / count(*)) AS BIGINT) AS mean_cents,
        max(cents) - min(cents) AS range_cents
