@@ -33,6 +33,32 @@ def components(rows: list[tuple]) -> list[tuple]:
     return sorted((i, len(sets[i]), find(i)) for i in ids)
 
 
+def distinct_sets(rows: list[tuple]) -> dict:
+    """Ids of the rows of every distinct set of shingles."""
+    sets: dict = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        own = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets.setdefault(own, []).append(i)
+    return sets
+
+
+def linked_rows(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """(whether the id is null, id, number of linked rows) of every row; (a, b, both, either) of all linked distinct sets."""
+    sets = distinct_sets(rows)
+    least = lambda ids: None if None in ids else min(ids)
+    counts, pairs, names = {s: len(ids) - 1 if s else 0 for s, ids in sets.items()}, [], list(sets)
+    for n, s in enumerate(names):
+        for t in names[:n]:
+            both, either = len(s & t), len(s | t)
+            if both and 100 * both >= 75 * either:
+                counts[s] += len(sets[t])
+                counts[t] += len(sets[s])
+                a, b = sorted((least(sets[s]), least(sets[t])), key=lambda i: (i is not None, i or 0))
+                pairs.append((a, b, both, either))
+    return sorted((i is None, i, counts[s]) for s, ids in sets.items() for i in ids), pairs
+
+
 def cut(rows: list[tuple], width: int = 100) -> list[tuple]:
     seen, out = set(), []
     for i, t in sorted(rows):

@@ -120,6 +120,33 @@ def test_components_of_near_copies_and_rows_that_repeat(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute.components(plain)}
 
 
+def test_links_of_near_copies_and_rows_that_repeat(spark, odd, none, monkeypatch):
+    """Every link between different texts is found and counted, those inside a cluster too."""
+    words = noise(5, 4000).split()[:200]
+    rows = [(0, " ".join(words)), (0, " ".join(words)), (None, " ".join(words)), (100, "  " + " ".join(words)), (101, None), (102, "")]
+    for k in range(1, 60):
+        own = list(words)
+        for place in random.Random(k).sample(range(200), k % 6):
+            own[place] = f"new{k}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    for df in (spark.createDataFrame(rows, DOC), odd, odd.union(odd)):
+        want, links = brute.linked_rows(pairs(df))
+        assert sorted((r.doc_id is None, r.doc_id, r.n_links) for r in jaccard.with_links(df).collect()) == want
+        found = [tuple(r) for r in jaccard.links(df).collect()]
+        assert sorted(found, key=repr) == sorted(links, key=repr)
+        assert sum(1 / r.copies for r in jaccard.members(df).collect()) == pytest.approx(len(brute.distinct_sets(pairs(df))))
+    assert len(jaccard.links(spark.createDataFrame(rows, DOC)).collect()) > 60
+    assert jaccard.with_links(none).count() == jaccard.links(none).count() == 0
+
+
+def test_links_are_part_of_the_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = jaccard.op2_jaccard_join(spark, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_links) for r in rows) == brute.linked_rows(pairs(docs))[0]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute.components(pairs(docs))
+
+
 def test_tree_bound_loses_no_link():
     draw = np.random.default_rng(4)
     base = np.unique(draw.integers(0, 1 << 64, 400, dtype=np.uint64))

@@ -16,10 +16,12 @@ found in another set's prefix can have a link, and linked sets meet in the tile
    count vectors to these tiles; each pair from different components that the R-tree lets through is verified. The first token that linked
    sets share has at most a seventh of both sizes before it (all of that is in one set only), so a pair is looked at only in
    tiles for which that holds.
+5. Links: the rounds find the components, and a link never leaves one. The distinct sets of a component, cut into blocks, meet in one
+   place for each pair of blocks, where the overlap of every two sets is counted; ``links`` gives the pairs, ``with_links`` their number.
 
-No group is ever turned into all its pairs. Null texts, empty texts and texts without words have size 0 and no link. Rows
+Up to step 4 no group is turned into all its pairs; step 5 looks at all pairs of a component's distinct sets, as each may be a link. Null texts, empty texts and texts without words have size 0 and no link. Rows
 with the same ``doc_id`` (null is an id too, lower than all others) are one node of the graph, with the links of each of its texts. Sets are compared by
-64-bit hashes of their shingles. Further columns pass through ``kept_documents``.
+64-bit hashes of their shingles, and told apart by a 64-bit hash of these. Further columns pass through ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -41,13 +43,16 @@ WORDS = 5
 FIRST = 3
 LEAF = 64
 FLUSH = 1_500_000
+BLOCK_SETS = 128
+BLOCK_TOKENS = 1 << 20
+MATCHES = 1 << 21
 TOKEN, META, LINK, SHARED = 0, 1, 2, 3
 TOKENS = [("token", "<u8"), ("doc", "<i8")]
-METAS = [("doc", "<i8"), ("size", "<i8")]
+METAS = [("doc", "<i8"), ("size", "<i8"), ("set", "<i8")]
 LINKS = [("a", "<i8"), ("b", "<i8")]
 ROOTED = [("token", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("excess", "<i4")]
 BLOBS = "dest int, kind int, blob binary"
-CANDIDATE = "doc long, size long, shared binary, ranks binary, counts binary, tokens binary"
+CANDIDATE = "doc long, size long, set long, shared binary, ranks binary, counts binary, tokens binary"
 
 
 def least_shared(size: int) -> int:
@@ -126,6 +131,10 @@ class RTree:
         return found[7 * np.minimum(self.points[found], point).sum(1, dtype=np.int64) >= 3 * (size + self.sizes[found])]
 
 
+def set_id(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets of tokens reach the threshold."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -169,10 +178,11 @@ def _sent(buckets: int):
             docs = batch.column("doc").to_pylist()
             for a, b in slices(offsets, STEP_BYTES):
                 for doc, own in zip(docs[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), strict=True):
-                    metas.append((doc, len(own)))
+                    name = set_id(own)
+                    metas.append((doc, len(own), name))
                     if not len(own):
                         continue
-                    first = seen.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), doc)
+                    first = seen.setdefault(name, doc)
                     if first != doc:
                         links.append((first, doc))
                         continue
@@ -212,7 +222,7 @@ def _candidates(docs: pa.Table, shared: pa.Table) -> pa.Table:
     order = np.lexsort((rows["token"], rows["doc"]))
     owner, token = rows["doc"][order], rows["token"][order]
     ids, first = np.unique(owner, return_index=True)
-    ends = np.append(first[1:], len(owner))
+    ends = np.append(first, len(owner))[1:]
     at = {int(d): (int(a), int(b)) for d, a, b in zip(ids, first, ends, strict=True)}
     out: list[tuple] = []
     if at and docs.num_rows:
@@ -227,10 +237,10 @@ def _candidates(docs: pa.Table, shared: pa.Table) -> pa.Table:
                     if len(own) and len(common) >= least_shared(-(-3 * len(own) // 4)):
                         ranks = np.searchsorted(own, common).astype("<u4")
                         counts = small(count_vector(own, groups_of(len(own))))
-                        out.append((doc, len(own), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [()] * 6
+                        out.append((doc, len(own), set_id(own), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [()] * 7
     names = [f.split()[0] for f in CANDIDATE.split(", ")]
-    return pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size") else pa.binary()) for n, c in zip(names, columns, strict=True)})
+    return pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size", "set") else pa.binary()) for n, c in zip(names, columns, strict=True)})
 
 
 def _first_tiles(buckets: int):
@@ -387,6 +397,74 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of tokens that each set of the one side has in common with each of the other."""
+    owner = np.repeat(np.arange(len(right)), [len(t) for t in right])
+    tokens = np.concatenate(right)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    sizes = [len(t) for t in left]
+    wanted, row = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    first = np.searchsorted(tokens, wanted, "left")
+    times = np.searchsorted(tokens, wanted, "right") - first
+    out, done = np.zeros(len(left) * len(right), np.int64), np.cumsum(times)
+    for a, b in slices(np.append(0, done), MATCHES):
+        n = times[a:b]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:b], n)
+        begin, end = int(row[a]), int(row[b - 1]) + 1
+        out[begin * len(right) : end * len(right)] += np.bincount(
+            np.repeat(row[a:b] - begin, n) * len(right) + owner[place], minlength=(end - begin) * len(right)
+        )
+    return out.reshape(len(left), len(right))
+
+
+def block_links(block: np.ndarray, name: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, tokens in both) of the links between two blocks, or inside the only one; each set counts once."""
+    _, at = np.unique(name, return_index=True)
+    left, right = at[block[at] == block.min()], at[block[at] == block.max()]
+    both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+    sizes = np.array([len(t) for t in sets])
+    found = 7 * both >= 3 * (sizes[left][:, None] + sizes[right][None, :])
+    if block.min() == block.max():
+        found = np.triu(found, 1)
+    i, j = np.nonzero(found)
+    return left[i], right[j], both[i, j]
+
+
+def _met_blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, a, b, tokens in both) of each pair of blocks that met here; a and b are places among the rows."""
+    root, low, high, block, name = (table[n].to_numpy() for n in ("root", "low", "high", "block", "set"))
+    tokens = table["tokens"].combine_chunks()
+    order = np.lexsort((high, low, root))
+    new = (np.diff(root[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    for members in np.split(order, np.flatnonzero(new) + 1):
+        # One block of two may have no set.
+        if len(members) < 2 or (low[members[0]] != high[members[0]] and (block[members] == block[members[0]]).all()):
+            continue
+        sets = [np.frombuffer(tokens[int(m)].as_buffer(), "<u8") for m in members]
+        yield members, *block_links(block[members], name[members], sets)
+
+
+def _block_counts(table: pa.Table) -> pa.Table:
+    """For each set the rows of the sets that it is linked to in these blocks."""
+    name, copies = table["set"].to_numpy(), table["copies"].to_numpy()
+    total = np.zeros(len(name), np.int64)
+    for members, a, b, _ in _met_blocks(table):
+        np.add.at(total, members[a], copies[members[b]])
+        np.add.at(total, members[b], copies[members[a]])
+    some = np.flatnonzero(total)
+    return pa.table({"set": pa.array(name[some], pa.int64()), "n": pa.array(total[some], pa.int64())})
+
+
+def _block_pairs(table: pa.Table) -> pa.Table:
+    name, size = table["set"].to_numpy(), table["size"].to_numpy()
+    out = [np.zeros((4, 0), np.int64)]
+    for members, a, b, both in _met_blocks(table):
+        one, other = members[a], members[b]
+        out.append(np.stack([name[one], name[other], both, size[one] + size[other] - both]))
+    return pa.table(dict(zip(("one", "other", "n_both", "n_either"), map(pa.array, np.concatenate(out, 1)), strict=True)))
+
+
 def _unpacked_rows(kind_number: int, kind: list, blobs: DataFrame, schema: str) -> DataFrame:
     names = [n for n, _ in kind]
 
@@ -398,8 +476,8 @@ def _unpacked_rows(kind_number: int, kind: list, blobs: DataFrame, schema: str)
     return blobs.where(f"kind = {kind_number}").select("blob").mapInArrow(step, schema)
 
 
-def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, size) of every row and (node, root) of every linked document; a null id is NO_ID."""
+def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, size, set) of every row, (node, root) of every linked document, and the candidates; a null id is NO_ID."""
     partitions = shuffle_partitions(docs.sparkSession)
     parts = 4 * partitions
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), utf8().alias("bytes"))
@@ -425,28 +503,84 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     last = both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    sizes = _unpacked_rows(META, METAS, met, "doc long, size long")
-    return sizes, components(known.unionByName(last))
+    sizes = _unpacked_rows(META, METAS, met, "doc long, size long, set long")
+    return sizes, components(known.unionByName(last)), found
+
+
+def met_blocks(sizes: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The distinct sets of each component of two or more, once for every pair of blocks that theirs belongs to."""
+    dests = 4 * shuffle_partitions(sizes.sparkSession)
+    # The copies of a set are in one component; its smallest candidate stands for them.
+    one = found.groupBy("set").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    copies = sizes.groupBy("set").agg(F.count("*").alias("copies"))
+    placed = one.join(roots, F.col("doc") == F.col("node"), "left").select("set", "doc", "size", F.coalesce("root", "doc").alias("root"))
+    blocks = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").select(
+        "root", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("total") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    )
+    dealt_sets = placed.join(blocks, "root").join(copies, "set")
+    own = dealt_sets.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    whole = found.select("doc", "set", "tokens").join(own, ["doc", "set"])
+    met = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return met.select(
+        F.pmod(F.xxhash64("root", low, high), F.lit(dests)).cast("int").alias("dest"),
+        "root", low.alias("low"), high.alias("high"), "block", "set", "size", "copies", "tokens",
+    )
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    sizes, roots = joined_sets(docs)
+    sizes, roots, _ = joined_sets(docs)
+    return _named(sizes, roots)
+
+
+def _named(sizes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
     doc, root = F.col("doc"), F.coalesce("root", "doc")
     return sizes.join(roots, doc == F.col("node"), "left").select(
-        F.when(doc != NO_ID, doc).alias("doc_id"), F.col("size").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id")
+        F.when(doc != NO_ID, doc).alias("doc_id"), F.col("size").alias("n_shingles"), F.when(root != NO_ID, root).alias("component_id"), *more
     )
 
 
+def with_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links is the number of other rows it is linked to, copies among them."""
+    sizes, roots, found = joined_sets(docs)
+    near = met_blocks(sizes, roots, found).groupBy("dest").applyInArrow(_block_counts, "set long, n long").groupBy("set").agg(F.sum("n").alias("near"))
+    copies = sizes.where("size > 0").groupBy("set").agg(F.count("*").alias("copies"))
+    per_set = copies.join(near, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    counted = sizes.join(per_set, "set", "left").select("doc", "size", F.coalesce("links", F.lit(0)).alias("n_links"))
+    return _named(counted, roots, "n_links")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b, n_both, n_either) of all linked pairs of distinct sets, each named by the smallest id that has it; ``members`` gives the copies."""
+    sizes, roots, found = joined_sets(docs)
+    pairs = met_blocks(sizes, roots, found).groupBy("dest").applyInArrow(_block_pairs, "one long, other long, n_both long, n_either long")
+    names = sizes.groupBy("set").agg(F.min("doc").alias("name"))
+    named = pairs.join(names.toDF("one", "a"), "one").join(names.toDF("other", "b"), "other")
+    first, last = (F.when(c != NO_ID, c) for c in (F.least("a", "b"), F.greatest("a", "b")))
+    return named.select(first.alias("a"), last.alias("b"), "n_both", "n_either")
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id, n_shingles, name, copies) of every row: its distinct set, the smallest id that has it and how many rows do."""
+    sizes, _, _ = joined_sets(docs)
+    per_set = sizes.groupBy("set").agg(F.min("doc").alias("name"), F.count("*").alias("copies"))
+    doc, name = F.col("doc"), F.col("name")
+    return sizes.join(per_set, "set").select(
+        F.when(doc != NO_ID, doc).alias("doc_id"), F.col("set").alias("set_id"), F.col("size").alias("n_shingles"),
+        F.when(name != NO_ID, name).alias("name"), "copies",
+    )
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
-    _, roots = joined_sets(docs.select("doc_id", "text"))
+    _, roots, _ = joined_sets(docs.select("doc_id", "text"))
     gone = roots.where("node <> root").select(F.col("node").alias("_gone"))
     return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(documents(spark, sf_dir))
+    return with_links(documents(spark, sf_dir))
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}
