@@ -163,6 +163,24 @@ def test_lists_in_pieces(spark, no_broadcast):
     assert [r.piece for r in lists if r.k == 2] == [0] == [r.piece for r in lists if r.k is None]
 
 
+def test_lists_are_whole_at_every_size(spark):
+    """One row an owner, as the SQL of the two queries says, and the same values as rows."""
+    jobs = spark.range(25_000).selectExpr("if(id < 24990, 1, 2) AS owner", "id AS job", "'up' AS state")
+    states = keyed.job_state_map(jobs, ["owner"], "job", "state").collect()
+    assert sorted((r.owner, r.piece, len(r.states)) for r in states) == [(1, 0, 24_990), (2, 0, 10)]
+    refs = keyed.cluster_refs({"a": jobs, "b": jobs.where("owner = 2")}, ["owner"], "job").collect()
+    assert sorted((r.owner, r.piece, len(r.a), len(r.b)) for r in refs) == [(1, 0, 24_990, 0), (2, 0, 10, 10)]
+    rows = keyed.cluster_ref_rows({"a": jobs, "b": jobs.where("owner = 2")}, ["owner"], "job")
+    assert rows.where("owner = 1 AND kind = 'a'").count() == 24_990 and rows.count() == 25_010
+    assert keyed.job_state_rows(jobs, ["owner"], "job", "state").exceptAll(jobs).count() == 0
+
+
+def test_equal_values_are_dealt_over_the_pieces(spark):
+    df = spark.range(3000).selectExpr("1 AS k", "'x' AS v")
+    pieces = lookup.listed(df, ["k"], {"vs": F.col("v")}, piece_rows=100).collect()
+    assert sum(len(r.vs) for r in pieces) == 3000 and max(len(r.vs) for r in pieces) <= 200
+
+
 def test_operators_without_broadcast(spark, no_broadcast):
     """The queries give the same rows when every lookup takes the hot-key path."""
     import __spark_entry__

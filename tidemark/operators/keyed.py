@@ -200,13 +200,27 @@ def list_by_cluster(table: DataFrame, clusters: DataFrame, keys: list[str]) -> D
 
 
 def job_state_map(jobs: DataFrame, owner: list[str], job: str, state: str) -> DataFrame:
-    """Map from job id to state for each owner; an owner with very many jobs has several pieces."""
+    """Map from job id to state for each owner, one row an owner; ``job_state_rows`` for owners too large for a row."""
     lists = listed(jobs, owner, {"_jobs": F.struct(job, state)})
     return lists.select(*owner, "piece", F.map_from_entries("_jobs").alias("states"))
 
 
+def job_state_rows(jobs: DataFrame, owner: list[str], job: str, state: str) -> DataFrame:
+    """What ``job_state_map`` holds as rows (owner, job, state): no owner is gathered in one task."""
+    return jobs.select(*owner, job, state)
+
+
+def cluster_ref_rows(tables: dict[str, DataFrame], owner: list[str], value: str) -> DataFrame:
+    """What ``cluster_refs`` holds as rows (owner, kind, value): no owner is gathered in one task."""
+    parts = None
+    for name, table in tables.items():
+        part = table.select(*owner, F.lit(name).alias("kind"), F.col(value).alias("value"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.where(F.col("value").isNotNull())
+
+
 def cluster_refs(tables: dict[str, DataFrame], owner: list[str], value: str) -> DataFrame:
-    """One sorted list per table and owner, empty where a table has nothing for the owner."""
+    """One sorted list per table and owner, one row an owner, empty where a table has nothing for the owner."""
     parts = None
     for name, table in tables.items():
         part = table.select(*owner, F.col(value).alias("_value"), F.lit(name).alias("_table"))

@@ -69,24 +69,34 @@ def listed(
     df: DataFrame,
     keys: list[str],
     lists: dict[str, Column],
-    piece_rows: int = 10_000,
+    piece_rows: int | None = None,
 ) -> DataFrame:
-    """Sorted value lists per key (NULLs left out), cut into pieces of about ``piece_rows`` rows.
+    """Sorted value lists per key (NULLs left out): one row a key, piece 0, however many values it has.
 
-    A key with few rows has the single piece 0; a key with very many has several rows instead of
-    one array that no task could hold.
+    With ``piece_rows`` a key has as many pieces as it has that many rows, of about ``piece_rows``
+    rows each; equal values are dealt over the pieces too.
     """
     # The owner as one struct, so that NULL keys find their counts too.
     rows = df.select(
         F.struct(*keys).alias("_owner"), *[value.alias(name) for name, value in lists.items()]
     )
-    counts = rows.groupBy("_owner").agg(
-        F.ceil(F.count("*") / F.lit(piece_rows)).cast("int").alias("_pieces")
+    if piece_rows is None:
+        whole = rows.groupBy("_owner").agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in lists])
+        return whole.select("_owner.*", F.lit(0).alias("piece"), *lists)
+    same = rows.groupBy("_owner", *lists).agg(F.count("*").alias("_n"))
+    counts = same.groupBy("_owner").agg(
+        F.ceil(F.sum("_n") / F.lit(piece_rows)).cast("int").alias("_pieces")
     )
-    cut = skew_join(rows, counts, ["_owner"]).withColumn(
-        "piece", F.pmod(F.xxhash64(*lists), F.col("_pieces")).cast("int")
+    # A run of equal values goes to the piece of its hash, the next run to the next piece.
+    runs = same.withColumn("_run", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / piece_rows).cast("int") - 1)))
+    cut = skew_join(runs, counts, ["_owner"]).withColumn(
+        "piece", F.pmod(F.pmod(F.xxhash64(*lists), F.col("_pieces")) + F.col("_run"), F.col("_pieces")).cast("int")
     )
+    times = F.least(F.lit(piece_rows), F.col("_n") - F.col("_run") * piece_rows).cast("int")
     grouped = cut.groupBy("_owner", "piece").agg(
-        *[F.sort_array(F.collect_list(name)).alias(name) for name in lists]
+        *[
+            F.sort_array(F.flatten(F.collect_list(F.when(F.col(name).isNotNull(), F.array_repeat(F.col(name), times))))).alias(name)
+            for name in lists
+        ]
     )
     return grouped.select("_owner.*", "piece", *lists)
