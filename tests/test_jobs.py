@@ -26,6 +26,23 @@ def test_failure_cancels_the_rest(spark):
     assert log.where("status = 'Fail'").first().error and last.count() == 1
 
 
+def test_failure_on_the_rows_cancels_the_rest(spark):
+    bad = "SELECT CAST(s AS INT) AS n FROM VALUES ('1'), ('x') AS t(s)"
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    conf = {"spark.sql.ansi.enabled": "true"}
+    try:
+        last, log = run_sql_job(spark, ["SELECT 1 AS x", bad, "SELECT 2 AS x"], conf=conf)
+        assert [r.status for r in log.orderBy("ordinal").collect()] == ["Finish", "Fail", "Cancel"] and last.first().x == 1
+        _, log = run_sql_job(spark, ["SHOW TABLES", bad], conf=conf)
+        assert [r.status for r in log.orderBy("ordinal").collect()] == ["Finish", "Fail"]
+        _, log = run_sql_job(spark, ["SHOW TABLES", bad], conf=conf, run_last=False)
+        assert [r.status for r in log.orderBy("ordinal").collect()] == ["Finish", "Run"]
+        _, log = run_sql_job(spark, ["SELECT 1 AS x", "SHOW TABLES"], run_last=False)
+        assert [r.status for r in log.orderBy("ordinal").collect()] == ["Finish", "Finish"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_set_and_reset(spark):
     last, log = run_sql_job(
         spark, ["SET tidemark.demo = 5", "SET tidemark.demo", "RESET tidemark.demo", "SELECT 1 AS x;"]

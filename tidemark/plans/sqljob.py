@@ -24,15 +24,23 @@ def is_sink(statement: str) -> bool:
     return bool(_SINK.match(_COMMENT.sub("", statement, count=1)))
 
 
+def is_command(result: DataFrame) -> bool:
+    """Was the statement executed by ``spark.sql`` itself, and its result kept?"""
+    return result._jdf.queryExecution().commandExecuted().getClass().getSimpleName() == "CommandResult"
+
+
 def run_sql_job(
     spark: SparkSession,
     statements: list[str],
     allow_sink: bool = False,
     conf: dict[str, str] | None = None,
+    run_last: bool = True,
 ) -> tuple[DataFrame | None, DataFrame]:
     """(result of the last statement that ran, run log).
 
-    Queries stay lazy.  The first failure is marked Fail and every later statement Cancel.
+    Every statement is executed, queries into the noop sink, and marked Finish or Fail by that.  The first
+    failure is marked Fail and every later statement Cancel.  With ``run_last`` off, a last query is only
+    analysed and marked Run: the caller executes it by reading the result.
     """
     log: list[tuple[int, str, str, str | None]] = []
     last: DataFrame | None = None
@@ -46,8 +54,13 @@ def run_sql_job(
         try:
             if is_sink(statement) and not allow_sink:
                 raise SinkNotAllowed("writes are not allowed in this job")
-            last = spark.sql(statement.rstrip().rstrip(";"))
-            log.append((ordinal, statement, "Finish", None))
+            result = spark.sql(statement.rstrip().rstrip(";"))
+            lazy = not is_command(result)
+            if lazy and (run_last or ordinal < len(statements)):
+                result.write.format("noop").mode("overwrite").save()
+                lazy = False
+            last = result
+            log.append((ordinal, statement, "Run" if lazy else "Finish", None))
         except (PySparkException, SinkNotAllowed) as problem:
             failed = True
             log.append((ordinal, statement, "Fail", str(problem).splitlines()[0]))

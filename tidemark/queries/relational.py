@@ -164,7 +164,9 @@ SPARK_ONLY = {
 def _sql_query(tables: str, text: str, before: tuple[str, ...] = ()):
     def build(spark, d):
         register_tables(spark, d, tables.split())
-        result, _ = run_sql_job(spark, [*before, text])
+        result, log = run_sql_job(spark, [*before, text], run_last=False)
+        if failed := log.where("status = 'Fail'").first():
+            raise RuntimeError(f"statement {failed.ordinal}: {failed.error}")
         return result
 
     return build
@@ -174,6 +176,25 @@ _SHIPPED = """CREATE OR REPLACE TEMPORARY VIEW shipped AS
   SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F'"""
 
 
+# The third statement fails on its rows, not when it is analysed.
+_LOGGED = (
+    "SELECT count(*) AS n FROM orders",
+    _SHIPPED,
+    "SELECT CAST(o_orderpriority AS INT) AS n FROM orders",
+    "SELECT count(*) AS n FROM shipped",
+)
+
+
+def q_sql_job_log(spark, d):
+    register_tables(spark, d, ["lineitem", "orders"])
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        _, log = run_sql_job(spark, list(_LOGGED), conf={"spark.sql.ansi.enabled": "true"})
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    return log.select("ordinal", "status", F.col("error").isNotNull().alias("failed"))
+
+
 def q_join_asof(spark, d):
     ev = events(spark, d)
     sales = ev.where(F.col("event_type") == "purchase").select("user_id", "event_id", "value")
@@ -238,6 +259,7 @@ QUERIES = {
         k: _sql_query(t, s, (_SHIPPED,) if k == "sql_job" else ())
         for k, (t, s) in SPARK_ONLY.items()
     },
+    "sql_job_log": q_sql_job_log,
     "rel_join_asof": q_join_asof,
     "udf_scalar": q_udf_scalar,
     "udf_agg": q_udf_agg,
@@ -259,6 +281,13 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     "sql_job": f"""
 SELECT o_orderpriority, count(*) AS n, {_REVENUE} AS revenue
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' GROUP BY o_orderpriority""",
+    "sql_job_log": """
+SELECT CAST(1 AS INTEGER) AS ordinal, 'Finish' AS status, false AS failed
+UNION ALL SELECT 2, 'Finish', false
+UNION ALL SELECT 3, CASE WHEN bad > 0 THEN 'Fail' ELSE 'Finish' END, bad > 0 FROM (
+  SELECT count(*) AS bad FROM orders WHERE o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS INTEGER) IS NULL)
+UNION ALL SELECT 4, CASE WHEN bad > 0 THEN 'Cancel' ELSE 'Finish' END, false FROM (
+  SELECT count(*) AS bad FROM orders WHERE o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS INTEGER) IS NULL)""",
     "rel_join_asof": """
 SELECT s.user_id, s.event_id, s.value, c.event_id AS click_id, c.value AS click_value
 FROM (SELECT * FROM events WHERE event_type = 'purchase') s
