@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "jaccard", "pieces", "shards", "katz", "exact", "quality", "language", "warc", "repeats"]
+MODULES = ["packing", "jaccard", "pieces", "shards", "katz", "exact", "quality", "language", "warc", "repeats", "whitening"]
 
 
 def _merged(part: str) -> dict:
