@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "jaccard", "pieces", "shards", "katz", "exact", "quality", "language", "warc", "repeats", "whitening", "toxicity"]
+MODULES = ["packing", "jaccard", "pieces", "shards", "katz", "exact", "quality", "language", "warc", "repeats", "whitening", "toxicity", "prefixes"]
 
 
 def _merged(part: str) -> dict:
