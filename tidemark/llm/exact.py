@@ -6,9 +6,9 @@ at the latest. Each distinct chunk moves once, to be compared with the chunks of
 there always is one). Equal identifiers then mean equal chunks, and two texts are equal if and only if their ordered
 lists of identifiers are: from there on only those short lists move, however long the documents are.
 
-Nulls count as empty texts, and empty texts equal one another. Rows without ``doc_id`` count in their group; they stay
-only if the group has no row with an id, and then all of them do. Rows that share text and ``doc_id`` are kept or
-dropped together. Further columns pass through ``kept_documents`` untouched, whatever their names.
+Nulls count as empty texts, and empty texts equal one another. Rows without ``doc_id`` count in their group; they can stay
+only if the group has no row with an id. ``groups`` marks all rows of a group that share the id to keep; ``kept_documents`` keeps one of them. It
+drops rows by their address, so that no text moves but as a chunk. Further columns pass through it untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import documents, text_or_empty
+from tidemark.llm.frames import addressed, documents, text_or_empty, without_rows
 
 LEAST, MOST = 1024, 8192
 CHUNK = rf"(?s).{{{LEAST},{MOST}}}?\n|.{{1,{MOST}}}"
@@ -57,11 +57,13 @@ def groups(docs: DataFrame, digests: Sequence = DIGESTS) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    found = groups(docs.select("doc_id", "text")).where("kept")
-    ids = found.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
-    same = F.sha2(F.encode(text_or_empty(), "UTF-8"), 256) == F.col("_kept_text")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & same, "left_semi")
+    """One row of each group with all its columns: that with the largest id, of several the last one in the files."""
+    rows, key = addressed(docs)
+    text = text_or_empty()
+    made = recipe(text, verified_digest(rows, text, DIGESTS))
+    lists = rows.select(F.xxhash64(made).alias("_print"), made.alias("_recipe"), F.struct("doc_id", key).alias("_row"))
+    last = lists.groupBy("_print", "_recipe").agg(F.max("_row").alias("_row")).select(f"_row.{key}")
+    return without_rows(rows, key, rows.select(key).join(last, key, "left_anti"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from tidemark.session import scratch_dir
 
 #: Bytes of text that one vectorised step takes at a time.
 STEP_BYTES = 2 << 20
+#: Row keys of a table that is broadcast: 8 bytes each, at most these.
+MOST_KEYS = 1_000_000
+ROW_BITS = 36
+_noted: list[list[str]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +41,57 @@ def table_of(schema: str, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(step, schema)
 
 
+@contextmanager
+def noted_folders() -> Iterator[list[str]]:
+    """The folders that ``written`` makes inside, so that the caller can remove them."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, which outlives executors and cuts the lineage."""
     path = scratch_dir(df.sparkSession, name)
+    if _noted:
+        _noted[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def addressed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a long that names each row, and that column's name: the number of the row's file and its place there.
+
+    Rows that do not come straight from Parquet files are written first. The driver gets the list of files.
+    """
+    own = docs.columns
+    address = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    try:
+        if "_metadata" in own:
+            raise AnalysisException("a column of the caller")
+        placed = docs.select(whole, *address)
+    except AnalysisException:
+        placed = written(docs.select(whole), "rows").select("row", *address)
+    key = next(k for k in (f"_key{i}" for i in range(len(own) + 1)) if k not in own)
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    numbered = placed.join(F.broadcast(numbers), "_file")
+    return numbered.select(*[F.col(f"row.`{c}`") for c in own], (F.shiftleft("_number", ROW_BITS) + F.col("_at")).alias(key)), key
+
+
+def without_rows(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``addressed`` documents whose key is not in ``gone`` (one column of that name), without the key.
+
+    The keys to leave out go to the texts as long as they are few; beyond that both sides are shuffled.
+    """
+    gone = written(gone.select(key), "gone")
+    side = F.broadcast(gone) if gone.count() <= MOST_KEYS else gone
+    return docs.join(side, key, "left_anti").drop(key)

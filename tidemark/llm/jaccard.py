@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import STEP_BYTES, documents, shuffle_partitions, utf8, written
+from tidemark.llm.frames import STEP_BYTES, addressed, documents, shuffle_partitions, utf8, without_rows, written
 from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
 
@@ -573,10 +573,13 @@ def members(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    _, roots, _ = joined_sets(docs.select("doc_id", "text"))
-    gone = roots.where("node <> root").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+    """One row of each component, the one with the smallest id (rows without id last), with all its columns; rows are told apart by their address, so ids may repeat."""
+    rows, key = addressed(docs)
+    _, roots, _ = joined_sets(rows.select(F.col(key).alias("doc_id"), "text"))
+    tied = written(roots.select(F.col("node").alias(key), "root").unionByName(roots.select(F.col("root").alias(key), "root").distinct()), "tied")
+    named = tied.join(rows.select(key, F.col("doc_id").alias("_id")), key)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", key)).alias("_row")).select(f"_row.{key}")
+    return without_rows(rows, key, tied.select(key).join(first, key, "left_anti"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
