@@ -8,8 +8,8 @@ from tidemark.operators.keyed import apply_change_events
 from tidemark.queries.keyed import CURRENT_SQL, as_change_events
 from tidemark.queries.status import SQL as STATUS_SQL
 from tidemark.session import scratch_dir
-from tidemark.sources.tables import table_stream
-from tidemark.streaming import stateful
+from tidemark.sources.tables import table, table_stream
+from tidemark.streaming import changelog, stateful
 from tidemark.streaming.windows import final_updates, run_append, run_updates, windowed
 
 BOUNDS = ["window_start", "window_end"]
@@ -104,7 +104,22 @@ def q_stream_apply_change_events(spark, d):
     return apply_change_events(kept, ["cluster_id"], "name", "kind", "event_id")
 
 
+def q_stream_changelog(spark, d):
+    """Running sums of each user in four micro-batches; an error takes an event back. The log of changes, played back."""
+    base = scratch_dir(spark, "changelog")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    rows.repartitionByRange(4, "event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sale = F.when(F.col("event_type") == "purchase", F.col("event_id")).otherwise(0)
+    sign = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    sums = {"n": F.lit(1), "sales": sale}
+    changelog.running_changelog(stream, ["user_id"], sums, f"{base}/state", f"{base}/rows", sign).awaitTermination()
+    kept = changelog.folded(spark, f"{base}/rows", ["user_id"])
+    return kept.select("user_id", F.col("n").cast("long").alias("n"), F.col("sales").cast("long").alias("sales"))
+
+
 QUERIES = {
+    "stream_changelog": q_stream_changelog,
     "stream_tumbling": q_stream_tumbling,
     "stream_sliding": q_stream_sliding,
     "stream_session": q_stream_session,
@@ -122,6 +137,10 @@ SELECT strftime(s, {_TIME}) AS window_start, strftime(s + INTERVAL 1 HOUR, {_TIM
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events)"""
 
 SQL = {
+    "stream_changelog": """
+SELECT user_id, CAST(sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) AS BIGINT) AS n,
+       CAST(sum(CASE event_type WHEN 'purchase' THEN event_id ELSE 0 END) AS BIGINT) AS sales
+FROM events GROUP BY user_id HAVING sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) <> 0""",
     "stream_tumbling": f"{_HOURLY} GROUP BY s, event_type",
     "stream_sliding": f"""
 SELECT strftime(s, {_TIME}) AS window_start, strftime(s + INTERVAL 2 HOUR, {_TIME}) AS window_end, event_type,
