@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.relational import asof_join, partial_aggregate
-from tidemark.plans.sqljob import register_tables, run_sql_job
+from tidemark.plans.sqljob import register_tables, run_sql_job, run_streaming_job
 from tidemark.queries.base import events
-from tidemark.sources.tables import table
+from tidemark.session import scratch_dir
+from tidemark.sources.tables import table, table_stream
 
 # Exact sums: doubles are added as decimals, so the order of the rows cannot show.
 _REVENUE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE)"
@@ -195,6 +196,31 @@ def q_sql_job_log(spark, d):
     return log.select("ordinal", "status", F.col("error").isNotNull().alias("failed"))
 
 
+def q_sql_job_streaming(spark, d):
+    """One list over streams: two tables are defined and filled, one of them by an aggregate, then read together; the run log is joined to it."""
+    base = scratch_dir(spark, "job")
+    name = f"job_{base[-8:]}"
+    statements = [
+        f"CREATE TABLE {name}_sales (event_id BIGINT, user_id BIGINT) USING parquet LOCATION '{base}/sales'",
+        f"CREATE TABLE {name}_kinds (kind STRING, n BIGINT) USING parquet LOCATION '{base}/kinds'",
+        f"INSERT INTO {name}_sales SELECT event_id, user_id FROM arriving WHERE event_type = 'purchase'",
+        f"INSERT INTO {name}_kinds SELECT event_type, count(*) FROM arriving GROUP BY event_type",
+        f"SELECT count(*) FROM {name}_sales JOIN {name}_kinds ON kind = 'purchase'",
+        f"DROP TABLE {name}_sales",
+        f"DROP TABLE {name}_kinds",
+    ]
+    _, log = run_streaming_job(spark, statements, {"arriving": table_stream(spark, d, "events")}, f"{base}/progress", allow_sink=True)
+    sales = spark.read.schema("event_id bigint, user_id bigint").parquet(f"{base}/sales")
+    kinds = spark.read.schema("kind string, n bigint").parquet(f"{base}/kinds")
+    done = log.groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("bigint")
+    return (
+        kinds.select(F.lit("kind").alias("part"), "kind", "n", none.alias("event_id"), none.alias("user_id"))
+        .unionByName(done.select(F.lit("log").alias("part"), "kind", "n", none.alias("event_id"), none.alias("user_id")))
+        .unionByName(sales.select(F.lit("sale").alias("part"), F.lit(None).cast("string").alias("kind"), none.alias("n"), "event_id", "user_id"))
+    )
+
+
 def q_join_asof(spark, d):
     ev = events(spark, d)
     sales = ev.where(F.col("event_type") == "purchase").select("user_id", "event_id", "value")
@@ -260,6 +286,7 @@ QUERIES = {
         for k, (t, s) in SPARK_ONLY.items()
     },
     "sql_job_log": q_sql_job_log,
+    "sql_job_streaming": q_sql_job_streaming,
     "rel_join_asof": q_join_asof,
     "udf_scalar": q_udf_scalar,
     "udf_agg": q_udf_agg,
@@ -281,6 +308,11 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     "sql_job": f"""
 SELECT o_orderpriority, count(*) AS n, {_REVENUE} AS revenue
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' GROUP BY o_orderpriority""",
+    "sql_job_streaming": """
+SELECT 'kind' AS part, event_type AS kind, count(*) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS user_id
+FROM events GROUP BY event_type
+UNION ALL SELECT 'log', 'Finish', 7, NULL, NULL
+UNION ALL SELECT 'sale', NULL, NULL, event_id, user_id FROM events WHERE event_type = 'purchase'""",
     "sql_job_log": """
 SELECT CAST(1 AS INTEGER) AS ordinal, 'Finish' AS status, false AS failed
 UNION ALL SELECT 2, 'Finish', false
