@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.lookup import skew_join
-from tidemark.plans.ordered import block_of, page_of_order, rank_in_key
+from tidemark.plans.ordered import GROUP_LIMIT, block_of, first_in_key, page_of_order, rank_in_key
 
 DEFAULT_CAPACITY = 1024
+#: Rows up to this place are a top-k, deeper ones are found through blocks; both give the same rows.
 SHALLOW_ROWS = 10_000
 
 
@@ -106,14 +107,13 @@ def retain_last(
 def _retain(df, seq, n, keys, block_rows, backwards):
     if n < 0:
         return df
+    by = F.col(seq).desc_nulls_last() if backwards else F.col(seq).asc_nulls_first()
     if not keys:
-        by = F.col(seq).desc() if backwards else F.col(seq).asc()
         if n <= SHALLOW_ROWS:
             return df.orderBy(by).limit(n).orderBy(seq)
-        if not backwards:
-            return page_of_order(df, seq, 0, n, block_rows)
-        mirrored = df.withColumn("_back", -F.col(seq))
-        return page_of_order(mirrored, "_back", 0, n, block_rows).drop("_back")
+        return page_of_order(df, seq, 0, n, block_rows, backwards)
+    if n <= GROUP_LIMIT:
+        return first_in_key(df, keys, [by], n)
     ranked = rank_in_key(df, keys, [seq], block_of(df, seq, block_rows), backwards)
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 

@@ -12,9 +12,11 @@ A window over (key, block) then sees the carry row first and needs nothing else.
 twice, the first time for the few columns of step 1 only; write or persist an input that is costly
 to compute.
 
-The order column is a unique integer.  Blocks are equally wide and there are at most ``MAX_BLOCKS`` of
-them, which bounds step 2; a block is never wider than ``BLOCK_ROWS`` unless that limit demands it,
-and a block of width w has at most w rows of a key.
+The order column is a unique number.  Blocks are cut at quantiles of it, taken from a mergeable sketch in one pass, so
+they hold about ``BLOCK_ROWS`` rows each however the numbers are spread, up to ``MAX_BLOCKS`` of them, which bounds step 2; from there
+on they grow with the table.  Rows without a number are a block of their own, before all others.
+
+``first_in_key`` is the short cut for the few first rows of each key: a limit per key in every task before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 1 << 20
-MAX_BLOCKS = 1 << 16
+MAX_BLOCKS = 1 << 14
+#: Rank error of the sketch: a quarter of the smallest block.
+SKETCH_ACCURACY = 4 * MAX_BLOCKS
+#: Up to so many rows a key are found by a limit in every task; the task of a key gets as many from each.
+GROUP_LIMIT = 128
 BLOCK = "_block"
 IS_ROW = "_is_row"
 
@@ -38,25 +45,37 @@ class Carry:
     fold: str  # prev | last | max | min | sum
 
 
+def _below(splits: Column, value: Column) -> Column:
+    """How many of the sorted splits are not above the value: a binary search in ``log2(MAX_BLOCKS)`` steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MAX_BLOCKS.bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        return F.when(F.get(splits, found + width - 1) <= value, found + width).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def block_of(df: DataFrame, seq: str, block_rows: int | None = None) -> Column:
-    """Block number of an integer order column: never falls as ``seq`` rises.
+    """Block number of an order column: never falls as ``seq`` rises; null where ``seq`` is.
 
-    The width comes from the range of the data, read by a scalar subquery, unless it is given.
+    The bounds are quantiles of the data, at most ``MAX_BLOCKS`` numbers that one pass brings to the driver, unless a width is given.
     """
     if block_rows is not None:
         return F.expr(f"`{seq}` div {int(block_rows)}L")
-    bounds = df.agg(
-        F.struct(
-            F.min(seq).cast("bigint").alias("low"),
-            F.greatest(
-                F.lit(BLOCK_ROWS).cast("bigint"),
-                F.ceil((F.max(seq).cast("double") - F.min(seq).cast("double") + 1) / MAX_BLOCKS),
-            ).alias("width"),
-        ).alias("b")
-    ).scalar()
-    # As doubles, since the range of bigint values may not fit a bigint.
-    offset = F.col(seq).cast("double") - bounds["low"].cast("double")
-    return F.floor(offset / bounds["width"].cast("double")).cast("bigint")
+    shares = F.split(F.lit(" ".join(repr(k / MAX_BLOCKS) for k in range(1, MAX_BLOCKS))), " ").cast("array<double>")
+    rows, splits = df.agg(F.count(seq), F.percentile_approx(seq, shares, F.lit(SKETCH_ACCURACY))).first()
+    blocks = max(1, min(MAX_BLOCKS, -(-rows // BLOCK_ROWS)))
+    if blocks == 1:
+        return F.when(F.col(seq).isNotNull(), F.lit(0)).cast("bigint")
+    bounds = [splits[-(-k * MAX_BLOCKS // blocks) - 1] for k in range(1, blocks)]
+    listed = F.split(F.lit(" ".join(map(str, bounds))), " ").cast(T.ArrayType(df.schema[seq].dataType))
+    return F.when(F.col(seq).isNotNull(), _below(listed, F.col(seq))).cast("bigint")
+
+
+def first_in_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key; each task drops what cannot be among them before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def order_key(order: list[str]) -> Column:
@@ -141,25 +160,29 @@ def rank_in_key(
 
 
 def page_of_order(
-    df: DataFrame, seq: str, start: int, size: int, block_rows: int | None = None
+    df: DataFrame, seq: str, start: int, size: int, block_rows: int | None = None, backwards: bool = False
 ) -> DataFrame:
-    """Rows at positions [start, start+size) of the total order by a unique integer ``seq``.
+    """Rows at positions [start, start+size) of the total order by a unique number ``seq``, nulls first (last, if backwards).
 
     Only the blocks that overlap the page are sorted; each of them holds at least one page row, so
     at most ``size`` block numbers are broadcast.
     """
     rows = df.withColumn(BLOCK, block_of(df, seq, block_rows))
     per_block = rows.groupBy(BLOCK).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+    def along(name: str) -> Column:
+        return F.col(name).desc_nulls_last() if backwards else F.col(name).asc_nulls_first()
+
+    upto = Window.orderBy(along(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     needed = (
         per_block.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
         .where((F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
-        .select(BLOCK, "_before")
+        .select(F.col(BLOCK).alias("_needed"), "_before")
     )
-    position = F.row_number().over(Window.partitionBy(BLOCK).orderBy(seq)) + F.col("_before")
+    position = F.row_number().over(Window.partitionBy(BLOCK).orderBy(along(seq))) + F.col("_before")
     return (
-        rows.join(F.broadcast(needed), BLOCK)
+        rows.join(F.broadcast(needed), F.col(BLOCK).eqNullSafe(F.col("_needed")))
         .withColumn("_pos", position)
         .where((F.col("_pos") > start) & (F.col("_pos") <= start + size))
-        .drop(BLOCK, "_before", "_pos")
+        .drop(BLOCK, "_needed", "_before", "_pos")
     )

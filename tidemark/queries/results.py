@@ -52,7 +52,7 @@ def q_result_page(spark, d):
 
 def q_result_page_deep(spark, d):
     rows = orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus")
-    return results.result_page(rows, "o_orderkey", 13, 1000, running=True, block_rows=4096)
+    return results.result_page(rows, "o_orderkey", 13, 1000, running=True)
 
 
 def q_result_offset_chunk(spark, d):

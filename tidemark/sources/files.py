@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordered import block_of, rank_in_key
-
-MAIN_CONTAINER = "flink-main-container"
+from tidemark.plans.ordered import GROUP_LIMIT, block_of, first_in_key, rank_in_key
 
 
 def text_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -40,6 +38,8 @@ def log_lines(
         df = df.where(F.col(ts) >= edge)
     if tail_lines is None:
         return df
+    if tail_lines <= GROUP_LIMIT:
+        return first_in_key(df, [pod], [F.col(c).desc_nulls_last() for c in order], tail_lines)
     cut = block if block is not None else block_of(df, order[0])
     ranked = rank_in_key(df, [pod], order, cut, backwards=True)
     return ranked.where(F.col("_rank") <= tail_lines).drop("_rank")
