@@ -58,15 +58,18 @@ def _below(splits: Column, value: Column) -> Column:
 def block_of(df: DataFrame, seq: str, block_rows: int | None = None) -> Column:
     """Block number of an order column: never falls as ``seq`` rises; null where ``seq`` is.
 
-    The bounds are quantiles of the data, at most ``MAX_BLOCKS`` numbers that one pass brings to the driver, unless a width is given.
+    The bounds are quantiles of the data, at most ``MAX_BLOCKS`` numbers that one pass brings to the driver, unless a width is given; a
+    table that fits one block is only counted.
     """
     if block_rows is not None:
         return F.expr(f"`{seq}` div {int(block_rows)}L")
-    shares = F.split(F.lit(" ".join(repr(k / MAX_BLOCKS) for k in range(1, MAX_BLOCKS))), " ").cast("array<double>")
-    rows, splits = df.agg(F.count(seq), F.percentile_approx(seq, shares, F.lit(SKETCH_ACCURACY))).first()
-    blocks = max(1, min(MAX_BLOCKS, -(-rows // BLOCK_ROWS)))
+    blocks = max(1, min(MAX_BLOCKS, -(-df.select(seq).count() // BLOCK_ROWS)))
     if blocks == 1:
         return F.when(F.col(seq).isNotNull(), F.lit(0)).cast("bigint")
+    shares = F.split(F.lit(" ".join(repr(k / MAX_BLOCKS) for k in range(1, MAX_BLOCKS))), " ").cast("array<double>")
+    splits = df.agg(F.percentile_approx(seq, shares, F.lit(SKETCH_ACCURACY))).first()[0]
+    if splits is None:
+        return F.lit(None).cast("bigint")
     bounds = [splits[-(-k * MAX_BLOCKS // blocks) - 1] for k in range(1, blocks)]
     listed = F.split(F.lit(" ".join(map(str, bounds))), " ").cast(T.ArrayType(df.schema[seq].dataType))
     return F.when(F.col(seq).isNotNull(), _below(listed, F.col(seq))).cast("bigint")
