@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.relational import asof_join, partial_aggregate
+from tidemark.operators.relational import asof_join, interval_join, partial_aggregate
 from tidemark.plans.sqljob import register_tables, run_sql_job, run_streaming_job
 from tidemark.queries.base import events
 from tidemark.session import scratch_dir
@@ -230,6 +230,18 @@ def q_join_asof(spark, d):
     return asof_join(sales, clicks, ["user_id"], "event_id", ["click_id", "click_value"])
 
 
+def q_join_interval(spark, d):
+    """Purchases and the errors during them: a purchase lasts as many seconds as its value, an error ten times that."""
+    timed = events(spark, d).withColumn("start", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+
+    def lasting(kind, factor):
+        seconds = F.floor(F.col("value") * factor).cast("bigint")
+        return timed.where(F.col("event_type") == kind).select("event_id", "user_id", "start", (F.col("start") + seconds).alias("end"))
+
+    met = interval_join(lasting("purchase", 1), lasting("error", 10), ("start", "end"), ("start", "end"))
+    return met.select(F.col("left.event_id").alias("purchase_id"), F.col("right.event_id").alias("error_id"), F.col("right.user_id").alias("user_id"))
+
+
 @F.pandas_udf(T.StringType())
 def value_band(value: pd.Series) -> pd.Series:
     """Size class of a value."""
@@ -286,6 +298,7 @@ QUERIES = {
         for k, (t, s) in SPARK_ONLY.items()
     },
     "sql_job_log": q_sql_job_log,
+    "rel_join_interval": q_join_interval,
     "sql_job_streaming": q_sql_job_streaming,
     "rel_join_asof": q_join_asof,
     "udf_scalar": q_udf_scalar,
@@ -308,6 +321,11 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     "sql_job": f"""
 SELECT o_orderpriority, count(*) AS n, {_REVENUE} AS revenue
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' GROUP BY o_orderpriority""",
+    "rel_join_interval": """
+WITH timed AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
+SELECT p.event_id AS purchase_id, e.event_id AS error_id, e.user_id AS user_id
+FROM timed p JOIN timed e ON p.event_type = 'purchase' AND e.event_type = 'error'
+  AND p.s <= e.s + CAST(floor(e.value * 10) AS BIGINT) AND e.s <= p.s + CAST(floor(p.value) AS BIGINT)""",
     "sql_job_streaming": """
 SELECT 'kind' AS part, event_type AS kind, count(*) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS user_id
 FROM events GROUP BY event_type
