@@ -232,12 +232,12 @@ def cluster_refs(tables: dict[str, DataFrame], owner: list[str], value: str) ->
 def lookup_with_fallback(
     wanted: DataFrame, store: DataFrame, second: DataFrame, keys: list[str], value: str
 ) -> DataFrame:
-    """Value of each wanted key from the store, else from the second source."""
+    """Value of each wanted key from the store, else from the second source; of several values of a key the largest."""
     return (
         wanted.select(*keys)
         .distinct()
-        .join(store.select(*keys, F.col(value).alias("_first")), keys, "left")
-        .join(second.select(*keys, F.col(value).alias("_second")), keys, "left")
+        .join(store.groupBy(*keys).agg(F.max(value).alias("_first")), keys, "left")
+        .join(second.groupBy(*keys).agg(F.max(value).alias("_second")), keys, "left")
         .select(
             *keys,
             F.coalesce("_first", "_second").alias(value),
@@ -256,17 +256,19 @@ def gated_put(requests: DataFrame, tracked: DataFrame, keys: list[str]) -> tuple
 
 
 def enabled_with_endpoint(enabled: DataFrame, endpoints: DataFrame, keys: list[str]) -> DataFrame:
-    """Enabled clusters, each with its endpoint if it has one."""
-    return enabled.select(*keys).distinct().join(endpoints, keys, "left")
+    """Enabled clusters, each with its endpoint if it has one; of several endpoints the largest by their columns' order."""
+    rest = [c for c in endpoints.columns if c not in keys]
+    one = endpoints.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_endpoint")).select(*keys, "_endpoint.*") if rest else endpoints.distinct()
+    return enabled.select(*keys).distinct().join(one, keys, "left")
 
 
 def tracker_status(
     tracked: DataFrame, answers: dict[str, tuple[DataFrame, str]], keys: list[str]
 ) -> DataFrame:
-    """Running, Idle or Unknown for each tracked cluster and kind of tracker."""
+    """Running, Idle or Unknown for each tracked cluster and kind of tracker; one answer that it is up outweighs others."""
     out = tracked.select(*keys).distinct()
     for name, (table, flag) in answers.items():
-        out = out.join(table.select(*keys, F.col(flag).alias(f"_{name}")), keys, "left")
+        out = out.join(table.groupBy(*keys).agg(F.max(flag).alias(f"_{name}")), keys, "left")
     for name in answers:
         up = F.col(f"_{name}")
         state = F.when(up, "Running").when(~up, "Idle").otherwise("Unknown")
