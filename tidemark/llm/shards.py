@@ -9,7 +9,8 @@ than the shards, so that no shard is one task; a row's slot is the exact number
 
 The law is ``bytes``: no shard is off its share by more than the tolerance or one row, whichever is larger (rows with
 equal hash and ``doc_id``, repeated rows, stay together). Null texts and null ids are ordered like hash 0 and the lowest id; a
-null text has size 1 and checksum 0. An empty table gives no rows. Further columns pass through ``sharded``.
+null text has size 1 and checksum 0. An empty table gives no rows. Further columns pass through ``sharded``, whatever their names; the
+caller's own ``shard`` and ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -31,13 +32,12 @@ _NAMES = ("_hash", "_id", "_size")
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with the sort key and size beside the other columns."""
-    return docs.withColumns(
-        {
-            "_hash": F.coalesce(F.shiftrightunsigned(F.xxhash64("text"), 2), F.lit(0)),
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(IDS[0]).cast("long")),
-            "_size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
-        }
+    """Sort key and size of every row, beside the row itself as one struct ``row``."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.shiftrightunsigned(F.xxhash64("text"), 2), F.lit(0)).alias("_hash"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(IDS[0]).cast("long")).alias("_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size"),
     )
 
 
@@ -116,11 +116,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
     )
     ordered = Window.partitionBy("_part").orderBy("_hash", "_id")
     ranked = sized.withColumn("_part", part).withColumn("_rank", F.row_number().over(ordered))
-    return (
-        ranked.join(F.broadcast(table), "_part")
-        .withColumn("slot", F.col("_before") + F.col("_rank") - 1)
-        .drop("_part", "_before", "_rank", *_NAMES)
-    )
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    return ranked.join(F.broadcast(table), "_part").select(*own, "shard", (F.col("_before") + F.col("_rank") - 1).alias("slot"))
 
 
 def _bisect(edges: list[tuple], first: int = 0) -> Column:
