@@ -187,6 +187,11 @@ def test_shards_are_even_and_gapless(spark, odd, none):
             sizes[shard] = sum(len((r.text or "").encode()) + 1 for r in own)
         assert max(sizes) - min(sizes) <= 2 * max(len((r.text or "").encode()) + 1 for r in rows) + 1
     assert shards.sharded(none).count() == 0
+    clash = odd.withColumns({c: F.lit(c) for c in ("shard", "slot", "row", "_hash", "_id", "_size", "_part", "_rank", "_before")})
+    plain = {(r.doc_id, r.text): (r.shard, r.slot) for r in shards.sharded(odd).collect()}
+    found = shards.sharded(clash)
+    assert found.columns == ["doc_id", "text", "row", "_hash", "_id", "_size", "_part", "_rank", "_before", "shard", "slot"]
+    assert {(r.doc_id, r.text): (r.shard, r.slot) for r in found.where("row = 'row' AND _part = '_part'").collect()} == plain
 
 
 def test_shard_query_digests(spark):
@@ -264,6 +269,15 @@ def test_language_on_held_out_rows(spark, none):
     assert {r.lang_pred for r in language.identified(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned_whatever_their_number(spark):
+    rows = [(k * 10 + c, f"{k:03d} word{k % 7}{chr(97 + k % 26)}" * 4, f"x{k:03d}") for k in range(450) for c in range(2)] + [(0, "000 word0a" * 4, "x000")] * 50
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=900)
+    assert sum(len(m.classes) for m in model.languages.values()) == 450
+    assert max(len(m.classes) for m in model.languages.values()) == language.UNLISTED
+    few = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10)
+    assert sum(len(m.classes) for m in few.languages.values()) == 450
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://a", "same"), (1, "http://b\r\nX: y", "same"), (2, None, "é" * 4000), (5, "u", None), (4, "v", ""), (None, "w", "same"), (1, "again", "same")]
     rows += [(k, f"http://{k}", noise(k, 3000)) for k in range(10, 60)]

@@ -1,13 +1,14 @@
 """Language identification in two steps: the language family, then linear SVMs between the languages of that family.
 
 A text is described by the shares of its byte trigrams (A-Z lower-cased), hashed into ``CELLS``; whole texts are counted. Families come
-from a table of language codes; a code that is not in it is a family of its own. At either step each pair of classes has
+from a table of language codes; the codes that are not in it are dealt, in order, to families of at most ``UNLISTED``, so that the number of pairs
+grows with neither all languages nor all families squared. At either step each pair of classes has
 a linear support vector machine (squared hinge loss, dual coordinate descent); the class with most votes wins, ties
 go to the larger sum of margins, then to the name that sorts first. Related languages thus never compete
 with languages of other families for the same weights.
 
-The models are fitted on at most ``SAMPLE`` labelled rows, the same number of each language, lowest in a hash of ``doc_id`` and text;
-rows held out, without language or without letters are not used. Predictions see the text alone. A text that is
+The models are fitted on at most ``SAMPLE`` labelled rows, the same number of each language, lowest in a hash of ``doc_id`` and text, and on one row of
+each language where there are more than ``SAMPLE`` languages; no language is left out. Rows held out, without language or without letters are not used. Predictions see the text alone. A text that is
 null, empty or without letters gives ``und`` with score 0, and so does every text if there is nothing to learn from. The score is
 the product of both steps' logistic margins. Repeated rows get equal predictions; further columns pass through ``identified``.
 """
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.llm.frames import STEP_BYTES, documents, utf8
 from tidemark.llm.text import LOWER, binary_parts, slices
 
 CELLS = 4096
 SAMPLE = 4000
+UNLISTED = 16
 #: Language codes by family.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is", "af"],
@@ -43,8 +46,11 @@ FAMILIES = {
 }
 
 
-def family(language: str) -> str:
-    return next((name for name, codes in FAMILIES.items() if language in codes), f"={language}")
+def families_of(languages: list[str]) -> dict[str, str]:
+    """Family of every language."""
+    listed = {code: name for name, codes in FAMILIES.items() for code in codes}
+    others = sorted(code for code in languages if code not in listed)
+    return {code: listed[code] for code in languages if code in listed} | {code: f"={others[k - k % UNLISTED]}" for k, code in enumerate(others)}
 
 
 def shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -133,20 +139,19 @@ def _share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model from rows (doc_id, text, lang); None without any usable row."""
     usable = labelled.where("lang IS NOT NULL AND lang <> 'und'").where(F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 10).collect()
-    if not counts:
+    kinds = [r["lang"] for r in usable.select("lang").distinct().collect()]
+    if not kinds:
         return None
-    most = max(1, sample // len(counts))
-    order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
-    ids = None
-    for r in counts:
-        part = usable.where(F.col("lang") == r["lang"]).select("lang", utf8().alias("bytes"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-        part = part.orderBy("_o0", "_o1").limit(most).select("lang", "bytes")
-        ids = part if ids is None else ids.unionByName(part)
-    rows = sorted((r["lang"], bytes(r["shares"])) for r in ids.mapInArrow(_share_rows, "lang string, shares binary").collect())
+    keyed = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), utf8().alias("bytes"))
+    # The keys first, limited in every task; then the texts of those keys alone, repeated rows once.
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    chosen = keyed.select("lang", "key", lowest.alias("place")).where(F.col("place") <= max(1, sample // len(kinds))).select("lang", "key").distinct()
+    texts = keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("bytes").alias("bytes"))
+    rows = sorted((r["lang"], bytes(r["shares"])) for r in texts.mapInArrow(_share_rows, "lang string, shares binary").collect())
     x = np.frombuffer(b"".join(s for _, s in rows), np.float32).reshape(len(rows), CELLS)
     langs = np.array([lang for lang, _ in rows], object)
-    families = np.array([family(lang) for lang in langs], object)
+    named = families_of(kinds)
+    families = np.array([named[lang] for lang in langs], object)
     inner = {name: OneVersusOne.fit(x[families == name], langs[families == name]) for name in sorted(set(families))}
     return Model(OneVersusOne.fit(x, families), inner)
 
