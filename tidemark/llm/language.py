@@ -21,17 +21,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.frames import STEP_BYTES, documents, utf8
+from tidemark.llm.frames import STEP_BYTES, documents, utf8, written
 from tidemark.llm.text import LOWER, binary_parts, slices
 
 CELLS = 4096
 SAMPLE = 4000
 UNLISTED = 16
+#: Keys are counted by their upper 16 bits.
+BIN_SHIFT = 48
 #: Language codes by family.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "is", "af"],
@@ -136,16 +138,25 @@ def _share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang")[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "shares"])
 
 
+def _sum_before(group: list[str], order: str) -> Column:
+    earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(earlier), F.lit(0))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model from rows (doc_id, text, lang); None without any usable row."""
     usable = labelled.where("lang IS NOT NULL AND lang <> 'und'").where(F.col("text").rlike(r"\p{L}"))
-    kinds = [r["lang"] for r in usable.select("lang").distinct().collect()]
+    keyed = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), utf8().alias("bytes"))
+    keys = keyed.select("lang", "key", F.shiftright("key", BIN_SHIFT).alias("bin"))
+    histogram = written(keys.groupBy("lang", "bin").agg(F.count("*").alias("n")), "bins")
+    kinds = [r["lang"] for r in histogram.select("lang").distinct().collect()]
     if not kinds:
         return None
-    keyed = usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), utf8().alias("bytes"))
-    # The keys first, limited in every task; then the texts of those keys alone, repeated rows once.
-    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = keyed.select("lang", "key", lowest.alias("place")).where(F.col("place") <= max(1, sample // len(kinds))).select("lang", "key").distinct()
+    most = max(1, sample // len(kinds))
+    # Every bin taken holds a row that is taken, so there are no more bins than rows; then the keys inside them, and last the texts, repeated rows once.
+    bins = histogram.withColumn("before", _sum_before(["lang"], "bin")).where(F.col("before") < most).drop("n")
+    inside = keys.join(F.broadcast(bins), ["lang", "bin"]).groupBy("lang", "bin", "before", "key").agg(F.count("*").alias("n"))
+    chosen = inside.withColumn("place", F.col("before") + _sum_before(["lang", "bin"], "key")).where(F.col("place") < most).select("lang", "key")
     texts = keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("bytes").alias("bytes"))
     rows = sorted((r["lang"], bytes(r["shares"])) for r in texts.mapInArrow(_share_rows, "lang string, shares binary").collect())
     x = np.frombuffer(b"".join(s for _, s in rows), np.float32).reshape(len(rows), CELLS)
