@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import results
+from tidemark.operators import pages, results
 from tidemark.operators.keyed import latest_state
 from tidemark.queries.base import events, iso, lineitem, orders
 from tidemark.session import scratch_dir
@@ -13,6 +13,8 @@ from tidemark.streaming.windows import run_append
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+#: Rows a file of the results that are kept in order.
+PAGED_FILE = 1 << 16
 AS_OF = "1999-01-01 00:00:00"
 
 
@@ -67,6 +69,26 @@ def q_result_drain(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def _kept_orders(spark, d):
+    rows = orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return pages.write_ordered(rows, ["o_orderkey"], scratch_dir(spark, "ordered"), file_rows=PAGED_FILE, step=PAGED_FILE // 8)
+
+
+def q_result_page_indexed(spark, d):
+    return pages.page(_kept_orders(spark, d), 2, 1000, running=True)
+
+
+def q_result_page_views(spark, d):
+    """Counters of three pages, the last of which no table of ours reaches."""
+    return pages.page_views(_kept_orders(spark, d), [1, 2, 1_000_000], 1000, running=True)
+
+
+def q_result_chunk_indexed(spark, d):
+    """A chunk in the middle, and one behind the last row, which is its cursor alone."""
+    kept = _kept_orders(spark, d)
+    return pages.chunk(kept, 700, 300).unionByName(pages.chunk(kept, 1 << 60, 300))
+
+
 def q_latest_result_only(spark, d):
     frames = orders(spark, d).select(
         F.col("o_custkey").alias("session"),
@@ -88,6 +110,9 @@ QUERIES = {
     "result_page": q_result_page,
     "result_page_deep": q_result_page_deep,
     "result_offset_chunk": q_result_offset_chunk,
+    "result_page_indexed": q_result_page_indexed,
+    "result_page_views": q_result_page_views,
+    "result_chunk_indexed": q_result_chunk_indexed,
     "result_drain": q_result_drain,
     "latest_result_only": q_latest_result_only,
 }
@@ -136,6 +161,19 @@ SELECT event_id, user_id, event_type FROM (
     "result_offset_chunk": """
 WITH c AS (SELECT event_id, user_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 200)
 SELECT *, (SELECT coalesce(max(event_id), 500) FROM c) AS last_offset, false AS has_next FROM c""",
+    "result_page_indexed": """
+SELECT p.o_orderkey, p.o_custkey, p.o_orderstatus, total_pages, 2 AS page_index, true AS has_next_page,
+       2 >= total_pages AS has_more_rows, CAST((SELECT greatest(0, least(1000, count(*) - 1000)) FROM orders) AS BIGINT) AS page_rows
+FROM (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS total_pages FROM orders)
+LEFT JOIN (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 1000) p ON true""",
+    "result_page_views": """
+SELECT CAST(ceil(n / 1000.0) AS BIGINT) AS total_pages, CAST(page AS INTEGER) AS page_index, true AS has_next_page,
+       page >= ceil(n / 1000.0) AS has_more_rows, CAST(greatest(0, least(1000, n - (page - 1) * 1000)) AS BIGINT) AS page_rows
+FROM (SELECT count(*) AS n FROM orders), (VALUES (1), (2), (1000000)) AS v(page)""",
+    "result_chunk_indexed": """
+WITH c AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 300)
+SELECT *, (SELECT max(o_orderkey) FROM c) AS last_offset, false AS has_next FROM c
+UNION ALL SELECT NULL, NULL, NULL, CAST(1152921504606846976 AS BIGINT), false""",
     "result_drain": "SELECT event_id, user_id, event_type FROM events",
     "latest_result_only": """
 SELECT l.l_orderkey AS handle_id, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS shipped
