@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import sketches
 from tidemark.operators.relational import asof_join, interval_join, partial_aggregate
 from tidemark.plans.sqljob import register_tables, run_sql_job, run_streaming_job
 from tidemark.queries.base import events
@@ -242,6 +243,33 @@ def q_join_interval(spark, d):
     return met.select(F.col("left.event_id").alias("purchase_id"), F.col("right.event_id").alias("error_id"), F.col("right.user_id").alias("user_id"))
 
 
+def _exact(df, keys, value, name):
+    return df.groupBy(*keys).agg(F.count_distinct(value).alias(name))
+
+
+def q_distinct_sketch(spark, d):
+    """One sketch of the orders for each month of shipping, merged over all months; is every estimate within 5 % of the exact count?"""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", F.date_format("l_shipdate", "yyyy-MM").alias("poll"))
+    merged = sketches.merged(sketches.distinct_sketches(lines, ["l_returnflag", "poll"], "l_orderkey"), ["l_returnflag"])
+    both = merged.join(_exact(lines, ["l_returnflag"], "l_orderkey", "n_orders"), "l_returnflag")
+    close = F.abs(sketches.estimate() - F.col("n_orders")) <= 0.05 * F.col("n_orders")
+    return both.select("l_returnflag", "n_rows", "n_orders", close.alias("within"))
+
+
+def q_distinct_turnover(spark, d):
+    """Parts shipped in two years by return flag: in both, come and gone, each within 5 % of the parts of either year."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", F.year("l_shipdate").alias("poll"))
+    polls = [lines.where(F.col("poll") == year) for year in (1994, 1995)]
+    told = sketches.turnover(*[sketches.distinct_sketches(p, ["l_returnflag"], "l_partkey") for p in polls], ["l_returnflag"])
+    seen = lines.where(F.col("poll").isin(1994, 1995)).groupBy("l_returnflag", "l_partkey").agg(
+        F.max((F.col("poll") == 1994).cast("long")).alias("o"), F.max((F.col("poll") == 1995).cast("long")).alias("n")
+    )
+    exact = seen.groupBy("l_returnflag").agg(F.sum(F.col("o") * F.col("n")).alias("n_both"), F.sum("o").alias("n_old"), F.sum("n").alias("n_new"), F.count("*").alias("_all"))
+    near = told.select("l_returnflag", *[F.col(c).alias(f"_{c}") for c in ("n_both", "n_came", "n_went")]).join(exact, "l_returnflag")
+    off = [F.abs(F.col("_n_both") - F.col("n_both")), F.abs(F.col("_n_came") - F.col("n_new") + F.col("n_both")), F.abs(F.col("_n_went") - F.col("n_old") + F.col("n_both"))]
+    return near.select("l_returnflag", "n_both", "n_old", "n_new", (F.greatest(*off) <= 0.05 * F.col("_all")).alias("within"))
+
+
 @F.pandas_udf(T.StringType())
 def value_band(value: pd.Series) -> pd.Series:
     """Size class of a value."""
@@ -299,6 +327,8 @@ QUERIES = {
     },
     "sql_job_log": q_sql_job_log,
     "rel_join_interval": q_join_interval,
+    "rel_distinct_sketch": q_distinct_sketch,
+    "rel_distinct_turnover": q_distinct_turnover,
     "sql_job_streaming": q_sql_job_streaming,
     "rel_join_asof": q_join_asof,
     "udf_scalar": q_udf_scalar,
@@ -326,6 +356,12 @@ WITH timed AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
 SELECT p.event_id AS purchase_id, e.event_id AS error_id, e.user_id AS user_id
 FROM timed p JOIN timed e ON p.event_type = 'purchase' AND e.event_type = 'error'
   AND p.s <= e.s + CAST(floor(e.value * 10) AS BIGINT) AND e.s <= p.s + CAST(floor(p.value) AS BIGINT)""",
+    "rel_distinct_sketch": """
+SELECT l_returnflag, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_orders, true AS within FROM lineitem GROUP BY l_returnflag""",
+    "rel_distinct_turnover": """
+SELECT l_returnflag, CAST(sum(o * n) AS BIGINT) AS n_both, CAST(sum(o) AS BIGINT) AS n_old, CAST(sum(n) AS BIGINT) AS n_new, true AS within
+FROM (SELECT l_returnflag, l_partkey, max(CASE year(l_shipdate) WHEN 1994 THEN 1 ELSE 0 END) AS o, max(CASE year(l_shipdate) WHEN 1995 THEN 1 ELSE 0 END) AS n
+      FROM lineitem WHERE year(l_shipdate) IN (1994, 1995) GROUP BY ALL) GROUP BY l_returnflag""",
     "sql_job_streaming": """
 SELECT 'kind' AS part, event_type AS kind, count(*) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS user_id
 FROM events GROUP BY event_type
