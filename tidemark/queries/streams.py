@@ -9,7 +9,7 @@ from tidemark.queries.keyed import CURRENT_SQL, as_change_events
 from tidemark.queries.status import SQL as STATUS_SQL
 from tidemark.session import scratch_dir
 from tidemark.sources.tables import table, table_stream
-from tidemark.streaming import changelog, stateful
+from tidemark.streaming import changelog, joins, stateful, tail
 from tidemark.streaming.windows import final_updates, run_append, run_updates, windowed
 
 BOUNDS = ["window_start", "window_end"]
@@ -118,7 +118,44 @@ def q_stream_changelog(spark, d):
     return kept.select("user_id", F.col("n").cast("long").alias("n"), F.col("sales").cast("long").alias("sales"))
 
 
+def _clicks_and_sales(spark, d, how):
+    base = scratch_dir(spark, "join")
+    clicks, sales = (
+        _stream(spark, d).where(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+        for kind in ("click", "purchase")
+    )
+    pairs = joins.interval_join(clicks, sales, ["user_id"], ("ts", "ts"), 0, 6 * 3600, ("1 hour", "1 hour"), how)
+    shown = pairs.select("left.user_id", F.col("left.event_id").alias("click_id"), F.col("right.event_id").alias("sale_id"))
+    run_append(shown, f"{base}/progress", f"{base}/rows").awaitTermination()
+    return spark.read.schema(shown.schema).parquet(f"{base}/rows")
+
+
+def q_stream_join_interval(spark, d):
+    """Clicks and the purchases of the same user in the six hours after."""
+    return _clicks_and_sales(spark, d, "inner")
+
+
+def q_stream_join_outer(spark, d):
+    """The same with the clicks that no purchase can follow in time any more."""
+    return _clicks_and_sales(spark, d, "left_outer")
+
+
+def q_stream_tail_follow(spark, d):
+    """The last 20 events of each user before a day, then every event from that day on, which come in two lots with a restart between."""
+    base = scratch_dir(spark, "tail")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    days = [F.lit(f"{day} 00:00:00").cast("timestamp_ntz") for day in ("2024-01-16", "2024-01-24")]
+    lots = [rows.where(F.col("ts") < days[0]), rows.where((F.col("ts") >= days[0]) & (F.col("ts") < days[1])), rows.where(F.col("ts") >= days[1])]
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{base}/in")
+        tail.tail_then_follow(spark, f"{base}/in", rows.schema, "user_id", ["event_id"], 20, f"{base}/out").awaitTermination()
+    return tail.followed(spark, rows.schema, f"{base}/out").select("event_id", "user_id", "event_type")
+
+
 QUERIES = {
+    "stream_join_interval": q_stream_join_interval,
+    "stream_join_outer": q_stream_join_outer,
+    "stream_tail_follow": q_stream_tail_follow,
     "stream_changelog": q_stream_changelog,
     "stream_tumbling": q_stream_tumbling,
     "stream_sliding": q_stream_sliding,
@@ -136,7 +173,22 @@ SELECT strftime(s, {_TIME}) AS window_start, strftime(s + INTERVAL 1 HOUR, {_TIM
        count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS n_sales
 FROM (SELECT *, date_trunc('hour', ts) AS s FROM events)"""
 
+_PAIRS = """
+WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+     m AS (SELECT c.user_id, c.event_id AS click_id, p.event_id AS sale_id FROM c JOIN p
+           ON p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR)
+SELECT * FROM m"""
+
 SQL = {
+    "stream_join_interval": _PAIRS,
+    "stream_join_outer": f"""{_PAIRS}
+UNION ALL SELECT user_id, event_id, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.click_id = c.event_id)
+  AND ts + INTERVAL 6 HOUR < (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p))) - INTERVAL 1 HOUR""",
+    "stream_tail_follow": """
+SELECT event_id, user_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00')
+WHERE n <= 20
+UNION ALL SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'""",
     "stream_changelog": """
 SELECT user_id, CAST(sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) AS BIGINT) AS n,
        CAST(sum(CASE event_type WHEN 'purchase' THEN event_id ELSE 0 END) AS BIGINT) AS sales
