@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import keyed
 from tidemark.queries.base import choose, customer, events, iso, lineitem, orders, sql_choose
 from tidemark.queries.status import JOB_STATE
+from tidemark.session import scratch_dir
+from tidemark.sources import kept
 from tidemark.sources.tables import table
 
 KEY = ["l_orderkey", "l_linenumber"]
@@ -149,6 +151,25 @@ def q_snapshot_reconcile(spark, d):
     return keyed.snapshot_reconcile(*newest, KEY, ["l_returnflag"], "l_shipdate")
 
 
+def q_kept_table_reconcile(spark, d):
+    """As ``snapshot_reconcile``, on a stored table that is changed in place."""
+    log = _shown(_log(spark, d))
+    first, second = (keyed.latest_state(log.where(F.col("l_linestatus") == s), KEY, ORDER) for s in ("F", "O"))
+    store = kept.create(first, KEY, scratch_dir(spark, "kept"), at="l_shipdate", buckets=16)
+    kept.reconcile(store, second, ["l_returnflag"], "l_shipdate")
+    return store.rows()
+
+
+def q_kept_table_changes(spark, d):
+    """Two orders of three are stored; every second one is added, or its price doubled where it is there; those of one status are removed."""
+    all_orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    store = kept.create(all_orders.where(F.col("o_orderkey") % 3 != 0), ["o_orderkey"], scratch_dir(spark, "kept"), buckets=16)
+    price = (F.col("old.price") + F.col("new.price")).cast("decimal(18,2)")
+    kept.upsert(store, all_orders.where(F.col("o_orderkey") % 2 == 0), {"price": price})
+    kept.delete(store, all_orders.where(F.col("o_orderstatus") == "P").select("o_orderkey"))
+    return store.rows().withColumn("price", F.col("price").cast("string"))
+
+
 def q_live_members_metrics(spark, d):
     live = keyed.apply_change_events(
         as_change_events(events(spark, d)), ["cluster_id"], "name", "kind", "event_id"
@@ -305,6 +326,8 @@ QUERIES = {
     "snapshot_removed": q_snapshot_removed,
     "snapshot_changed": q_snapshot_changed,
     "snapshot_reconcile": q_snapshot_reconcile,
+    "kept_table_reconcile": q_kept_table_reconcile,
+    "kept_table_changes": q_kept_table_changes,
     "live_members_metrics": q_live_members_metrics,
     "cascade_delete": q_cascade_delete,
     "list_by_cluster": q_list_by_cluster,
@@ -350,6 +373,14 @@ SELECT c_custkey AS cluster_id,
 FROM customer LEFT JOIN {_NEWEST.format("F")} f ON f.cluster_id = c_custkey
      LEFT JOIN {_NEWEST.format("O")} o ON o.cluster_id = c_custkey"""
 
+_RECONCILED = f"""
+SELECT c.l_orderkey, c.l_linenumber,
+       strftime(CASE WHEN p.l_returnflag = c.l_returnflag THEN p.l_shipdate ELSE c.l_shipdate END,
+                '%Y-%m-%d %H:%M:%S') AS l_shipdate,
+       c.l_partkey, c.l_suppkey, c.l_extendedprice, c.l_quantity, c.l_returnflag, c.l_linestatus
+FROM ({_latest("WHERE l_linestatus = 'O'")}) c LEFT JOIN ({_latest("WHERE l_linestatus = 'F'")}) p
+  ON p.l_orderkey = c.l_orderkey AND p.l_linenumber = c.l_linenumber"""
+
 SQL = {
     "latest_state": f"""
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
@@ -388,13 +419,11 @@ SELECT user_id, poll_day, n_rows FROM (
            count(DISTINCT event_type) AS n_rows
     FROM events GROUP BY 1, 2))
 WHERE content IS DISTINCT FROM before""",
-    "snapshot_reconcile": f"""
-SELECT c.l_orderkey, c.l_linenumber,
-       strftime(CASE WHEN p.l_returnflag = c.l_returnflag THEN p.l_shipdate ELSE c.l_shipdate END,
-                '%Y-%m-%d %H:%M:%S') AS l_shipdate,
-       c.l_partkey, c.l_suppkey, c.l_extendedprice, c.l_quantity, c.l_returnflag, c.l_linestatus
-FROM ({_latest("WHERE l_linestatus = 'O'")}) c LEFT JOIN ({_latest("WHERE l_linestatus = 'F'")}) p
-  ON p.l_orderkey = c.l_orderkey AND p.l_linenumber = c.l_linenumber""",
+    "snapshot_reconcile": _RECONCILED,
+    "kept_table_reconcile": _RECONCILED,
+    "kept_table_changes": """
+SELECT o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 6 IN (2, 4) THEN 2 ELSE 1 END AS VARCHAR) AS price
+FROM orders WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AND o_orderstatus <> 'P'""",
     "live_members_metrics": f"""
 SELECT user_id % 10 AS cluster_id, user_id AS name, event_id, value, true AS found
 FROM events WHERE event_type <> 'error' AND user_id IN (SELECT name FROM ({CURRENT_SQL}))""",
