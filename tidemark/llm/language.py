@@ -71,9 +71,10 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit_pair(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Weights (bias last) of the linear SVM with squared hinge loss for y in {-1, 1}."""
-    scale = 1 / np.maximum(x.std(0), 1e-4)
-    z = np.hstack([x * scale / np.sqrt(len(scale)), np.ones((len(x), 1), x.dtype)])
-    weights, alpha, size = np.zeros(z.shape[1]), np.zeros(len(z)), (z * z).sum(1) + 1 / (2 * cost)
+    scale = (1 / np.maximum(x.std(0), 1e-4)).astype(np.float32)
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale / np.float32(np.sqrt(len(scale))), out=z[:, :-1])
+    weights, alpha, size = np.zeros(z.shape[1]), np.zeros(len(z)), np.einsum("ij,ij->i", z, z) + 1 / (2 * cost)
     order = np.random.default_rng(1)
     for _ in range(rounds):
         for i in order.permutation(len(z)):
@@ -130,12 +131,26 @@ class Model:
         return names, score
 
 
+def _filled(row: np.ndarray) -> bytes:
+    """The cells of a row that are not 0, then their shares."""
+    cells = np.flatnonzero(row)
+    return cells.astype("<u2").tobytes() + row[cells].astype("<f4").tobytes()
+
+
+def _dense(blobs: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(blobs), CELLS), np.float32)
+    for row, blob in zip(x, blobs, strict=True):
+        size = len(blob) // 6
+        row[np.frombuffer(blob, "<u2", size)] = np.frombuffer(blob, "<f4", size, 2 * size)
+    return x
+
+
 def _share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = binary_parts(batch.column("bytes"))
         for a, b in slices(offsets, STEP_BYTES):
             x = shares(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield pa.RecordBatch.from_arrays([batch.column("lang")[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang")[a:b], pa.array([_filled(r) for r in x], pa.binary())], ["lang", "shares"])
 
 
 def _sum_before(group: list[str], order: str) -> Column:
@@ -159,7 +174,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     chosen = inside.withColumn("place", F.col("before") + _sum_before(["lang", "bin"], "key")).where(F.col("place") < most).select("lang", "key")
     texts = keyed.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("bytes").alias("bytes"))
     rows = sorted((r["lang"], bytes(r["shares"])) for r in texts.mapInArrow(_share_rows, "lang string, shares binary").collect())
-    x = np.frombuffer(b"".join(s for _, s in rows), np.float32).reshape(len(rows), CELLS)
+    x = _dense([blob for _, blob in rows])
     langs = np.array([lang for lang, _ in rows], object)
     named = families_of(kinds)
     families = np.array([named[lang] for lang in langs], object)
