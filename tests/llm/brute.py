@@ -128,3 +128,60 @@ def katz(rows: list[tuple], top: int = 5) -> dict:
             score += math.log10(seen[w] if w in seen else weight * lower(w))
         out[i] = (zlib.crc32(str(i).encode()) % 5 == 1, len(text), sum(words[w] > 0 for w in text), total, base, score)
     return out
+
+
+def katz_of_order(rows: list[tuple], order: int, held: set, top: int = 5) -> dict:
+    """Score of each text by a Katz model of any order, with dictionaries of whole contexts."""
+    grams: list = [collections.defaultdict(collections.Counter) for _ in range(order)]
+    texts = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
+    for i, words in texts:
+        if i not in held:
+            padded = [None] * (order - 1) + words
+            for at in range(order - 1, len(padded)):
+                for k in range(order):
+                    grams[k][tuple(padded[at - k : at])][padded[at]] += 1
+    words = grams[0][()]
+    total = sum(words.values())
+
+    def discount(values) -> dict:
+        n = collections.Counter(values)
+        last = (top + 1) * n[top + 1] / n[1] if n[1] else 0.0
+        out = {}
+        for r in range(1, top + 1):
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - last) / (1 - last) if n[r] and last != 1 else 0
+            out[r] = d if 0 < d < 1 else (r - 0.5) / r
+        return out
+
+    cut = [discount(c for m in level.values() for c in m.values()) for level in grams]
+    freed = 1 - sum(cut[0].get(c, 1) * c for c in words.values()) / total
+    unknown = max(freed, 0.5 / (total + 0.5))
+
+    def chance(context: tuple, w) -> float:
+        if not context:
+            return cut[0].get(words[w], 1) * words[w] / total * (1 - unknown) / (1 - freed) if words[w] else unknown
+        m, shorter = grams[len(context)].get(context), context[1:]
+        if not m:
+            return chance(shorter, w)
+        scale, weight = model(context)
+        return cut[len(context)].get(m[w], 1) * m[w] / sum(m.values()) * scale if w in m else weight * chance(shorter, w)
+
+    known: dict = {}
+
+    def model(context: tuple) -> tuple:
+        if context not in known:
+            m = grams[len(context)][context]
+            size, room = sum(m.values()), 1 - sum(chance(context[1:], w) for w in m)
+            used = sum(cut[len(context)].get(c, 1) * c for c in m.values()) / size
+            left = max(1 - used, 0.5 / (size + 0.5)) if room > 1e-12 else 0
+            known[context] = (1 - left) / used, left / room if room > 1e-12 else 0
+        return known[context]
+
+    for level in grams:
+        for context in list(level)[:20]:
+            assert abs(sum(chance(context, w) for w in words) + chance(context, "never seen") - 1) < 1e-9
+    out = collections.defaultdict(list)
+    for i, text in texts:
+        padded = [None] * (order - 1) + text
+        score = sum(math.log10(chance(tuple(padded[at - order + 1 : at]), padded[at])) for at in range(order - 1, len(padded)))
+        out[i].append(score)
+    return {i: sorted(v) for i, v in out.items()}

@@ -1,18 +1,22 @@
-"""LM scoring with a Katz back-off bigram model.
+"""LM scoring with a Katz back-off model of any order.
 
-Training texts give counts of bigrams (context, word); the end token of a text is also the context of its first word. Counts up
-to ``K`` get Good-Turing discounts (where the counts of counts cannot give a discount between 0 and 1: half a count is taken off). The mass a context
-loses goes to the words not seen behind it in proportion to their unigram probability, by a back-off weight that makes the
-probabilities of the V known words and the unknown word add up to exactly one; unigrams are discounted likewise in favour of the
-unknown word. A token is scored recursively: bigram, else back-off weight times unigram, else unknown; behind an unknown context by the unigram.
+Training texts give counts of n-grams (context, word) of all orders from 2 to ``order``; the contexts at the start of a text are filled up with the end
+token. Counts up to ``K`` get Good-Turing discounts, order by order (where the counts of counts cannot give a discount between 0 and 1: half a count is
+taken off). The mass a context loses goes to the words not seen behind it in proportion to their probability behind the context that is one word
+shorter, by a back-off weight that makes the probabilities of the V known words and the unknown word add up to exactly one; unigrams are discounted
+likewise in favour of the unknown word. A token is scored recursively: the longest n-gram that was seen, times the back-off weights of the longer
+contexts; the weight of an unknown context is one.
 
-The model is a table in partitions by context, the unigrams in partitions by word. Texts never move: a task sends, for each partition of contexts,
-its distinct bigrams with the documents that hold them. There the counts are added up and the words' totals are asked for from the partitions of words, which add up
-what the partitions of contexts hold of each word and answer with totals in the order of the question. Then every partition of contexts has all it needs,
-and sends back one partial sum for each document of a task.
+N-grams are partitioned by the last word of their context, so an n-gram, the shorter ones it backs off to and all their contexts lie together, whatever
+the order; the unigrams are partitioned by word. Texts never move: a task sends, for each partition, its distinct n-grams of the
+highest order with the documents that hold them, as numbers in a list of the words that occur there. The shorter n-grams follow from these. The words'
+totals are asked for from the partitions of words, which add up what the partitions of contexts hold of each word and answer with totals in
+the order of the question. Then every partition has all it needs, and sends back one partial sum for each document of a task.
+
+``model`` gives the same partitions as a table of n-grams, ``write_model`` stores it by order and bucket, and ``scored_from`` scores any texts with a stored model.
 
 Nulls and empty texts are one end token. Rows that repeat a ``doc_id`` are texts of their own; a null ``doc_id`` is never held out. Without
-training tokens every probability is 1. The counts are exact but for equal 64-bit hashes of different words.
+training tokens every probability is 1. Further columns are ignored. The counts are exact but for equal 64-bit hashes of different words.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ from tidemark.llm.language import held_out
 from tidemark.llm.text import binary_parts, slices, word_hashes
 
 K = 5
+#: Longest n-grams of the query.
+ORDER = 3
 FLUSH = 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
-BIGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
+NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
 BLOBS = "dest int, src long, kind int, blob binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -115,7 +121,7 @@ def unigram(counts: np.ndarray, kinds: np.ndarray, total: int) -> tuple[np.ndarr
 
 
 def backoff(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct bigrams: probability if seen (else 0), and the back-off weight of the context (1 if it is unknown)."""
+    """For sorted distinct n-grams: probability if seen (else 0), and the back-off weight of the context (1 if it is unknown)."""
     begin = firsts(context)
     if not len(begin):
         return np.zeros(0), np.zeros(0)
@@ -132,15 +138,14 @@ def backoff(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, kinds: n
     return mass * np.repeat(scale, sizes), np.repeat(weight, sizes)
 
 
-def _sent(parts: int):
-    """A task's distinct bigrams with their documents, to the partitions of contexts."""
+def _sent(parts: int, order: int):
+    """A task's distinct n-grams with their documents, to the partitions of contexts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         ids: list = []
         held: list = []
-        contexts: list = []
-        words: list = []
+        grams: list = []
         owners: list = []
         counts: list = []
 
@@ -152,24 +157,33 @@ def _sent(parts: int):
             own = np.array(held, "u1")
             table = [np.array([i or 0 for i in ids], "<i8"), missing, own, np.concatenate(counts).astype("<i8")]
             out = [(src % parts, src, DOCS, pack(*table))]
-            context, word, owner = np.concatenate(contexts), np.concatenate(words), np.concatenate(owners)
-            order = np.lexsort((word, context))
-            context, word, owner = context[order], word[order], owner[order]
-            place = owner * 2 + (1 - own[owner])
-            place = place.astype("<u2" if len(ids) < 1 << 15 else "<u4")
-            edge = cuts(context, parts)
+            owner = np.concatenate(owners)
+            # Columns: last word of the context, the word, then the context from its last word but one backwards.
+            words, numbers = np.unique(np.concatenate([c for g in grams for c in g]), return_inverse=True)
+            columns, at = [[] for _ in range(order)], 0
+            for g in grams:
+                for k, c in enumerate(g):
+                    columns[k].append(numbers[at : at + len(c)])
+                    at += len(c)
+            columns = [np.concatenate(c) for c in columns]
+            sort = sorted_by(columns, len(words))
+            columns = [c[sort] for c in columns]
+            place = (owner * 2 + (1 - own[owner]))[sort].astype("<u2" if len(ids) < 1 << 15 else "<u4")
+            edge = np.searchsorted(columns[0], cuts(words, parts))
             for dest in range(parts):
                 a, b = edge[dest], edge[dest + 1]
                 if a < b:
-                    kinds = firsts(context[a:b], word[a:b])
-                    times = np.diff(np.append(kinds, b - a))
-                    groups = firsts(context[a:b][kinds])
-                    blob = pack(
-                        np.array([len(ids)], "<i8"), context[a:b][kinds[groups]], np.diff(np.append(groups, len(kinds))).astype("<u4"),
-                        word[a:b][kinds], times.astype("<u4"), place[a:b],
-                    )
-                    out.append((dest, src, BIGRAMS, blob))
-            for part in (ids, held, contexts, words, owners, counts):
+                    begin = firsts(*(c[a:b] for c in columns))
+                    times = np.diff(np.append(begin, b - a))
+                    kinds = [c[a:b][begin] for c in columns]
+                    used = np.zeros(len(words), bool)
+                    for c in kinds:
+                        used[c] = True
+                    near = np.cumsum(used, dtype="<u4") - 1
+                    near = near.astype("<u2") if near[-1] < 1 << 16 else near
+                    blob = pack(np.array([len(ids)], "<i8"), words[used], times.astype("<u4"), place[a:b], *(near[c] for c in kinds))
+                    out.append((dest, src, NGRAMS, blob))
+            for part in (ids, held, grams, owners, counts):
                 part.clear()
             return rows_of(out).combine_chunks().to_batches()
 
@@ -177,21 +191,13 @@ def _sent(parts: int):
             data, offsets = binary_parts(batch.column("bytes"))
             names, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for a, b in slices(offsets, STEP_BYTES):
-                hashes, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                size = np.diff(bounds) + 1
-                # Every text as its words between two end tokens.
-                tokens = np.insert(hashes, bounds[1:], END)
-                last = np.cumsum(size) - 1
-                before = np.empty_like(tokens)
-                before[1:] = tokens[:-1]
-                before[last - size + 1] = END
+                columns, size = ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 owners.append(np.repeat(np.arange(b - a), size) + len(ids))
-                contexts.append(before)
-                words.append(tokens)
+                grams.append([columns[1], columns[0], *columns[2:]])
                 counts.append(size)
                 ids += names[a:b]
                 held += kept_out[a:b]
-                if sum(map(len, words)) >= FLUSH:
+                if sum(map(len, owners)) >= FLUSH:
                     yield from flush()
         if ids:
             yield from flush()
@@ -199,28 +205,89 @@ def _sent(parts: int):
     return step
 
 
+def ngrams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every token of these texts its hash, that of the token before it and so on, and the number of tokens of each text."""
+    hashes, bounds = word_hashes(data, offsets)
+    size = np.diff(bounds) + 1
+    tokens = np.insert(hashes, bounds[1:], END)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+    columns = [tokens]
+    for back in range(1, order):
+        before = np.full_like(tokens, END)
+        before[back:] = np.where(place[back:] >= back, tokens[:-back], END)
+        columns.append(before)
+    return columns, size
+
+
+def sorted_by(columns: list[np.ndarray], most: int) -> np.ndarray:
+    """The order of rows of small numbers below ``most``, the first column first."""
+    bits = max(most - 1, 1).bit_length()
+    if bits * len(columns) > 63:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        key = (key << bits) | c
+    return np.argsort(key)
+
+
 class Partition:
-    """The bigrams of one partition of contexts, added up over all tasks."""
+    """The n-grams of one partition of contexts, added up over all tasks, with those of every lower order."""
 
     def __init__(self, table: pa.Table):
-        self.tasks = blobs_of(table, BIGRAMS)
-        each = [np.repeat(a[1], a[2]) for _, a in self.tasks]
-        context = np.concatenate([*each, np.zeros(0, np.uint64)])
-        word = np.concatenate([*(a[3] for _, a in self.tasks), np.zeros(0, np.uint64)])
-        trained = []
+        self.tasks = blobs_of(table, NGRAMS)
+        if not self.tasks:
+            return
+        self.dictionary, number = np.unique(np.concatenate([a[1] for _, a in self.tasks]), return_inverse=True)
+        at, trained, order = 0, [], len(self.tasks[0][1]) - 4
+        columns: list[list] = [[] for _ in range(order)]
         for _, a in self.tasks:
-            begin = np.concatenate([[0], np.cumsum(a[4], dtype=np.int64)[:-1]])
-            trained.append(np.add.reduceat((a[5] & 1).astype(np.int64), begin))
-        count = np.concatenate([*trained, np.zeros(0, np.int64)])
-        order = np.lexsort((word, context))
-        begin = firsts(context[order], word[order])
-        self.context, self.word = context[order][begin], word[order][begin]
-        self.count = np.add.reduceat(count[order], begin) if len(begin) else count
-        kind = np.zeros(len(order), np.int64)
-        kind[begin] = 1
-        self.kind = np.empty(len(order), np.int64)  # number of the bigram behind each task's own
-        self.kind[order] = np.cumsum(kind) - 1
-        self.words, self.word_number = np.unique(self.word, return_inverse=True)
+            own = number[at : at + len(a[1])]
+            at += len(a[1])
+            for k in range(order):
+                columns[k].append(own[a[4 + k]])
+            begin = np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)[:-1]])
+            trained.append(np.add.reduceat((a[3] & 1).astype(np.int64), begin))
+        # Contexts and n-grams of each order are numbered in the order of their words; all of one context lie together.
+        size, rows = len(self.dictionary), np.concatenate(trained)
+        last, word, *longer = (np.concatenate(c).astype(np.int64) for c in columns)
+        self.orders, context, shorter = [], last, word
+        self.heads = [(last, None)]
+        for k in range(2, order + 1):
+            if k > 2:
+                heads, context_next = np.unique(context * size + longer[k - 3], return_inverse=True)
+                context = context_next
+                self.heads.append((heads % size, heads // size))
+            keys, kind = np.unique(context * size + word, return_inverse=True)
+            lower = np.empty(len(keys), np.int64)
+            lower[kind] = shorter
+            count = np.bincount(kind, weights=rows, minlength=len(keys)).astype(np.int64)
+            self.orders.append((keys // size, keys % size, count, lower))
+            shorter = kind
+        self.kind = shorter  # number of the longest n-gram behind each task's own
+        asked = np.zeros(size, bool)
+        asked[word] = True
+        self.asked = np.flatnonzero(asked)
+        self.words = self.dictionary[self.asked]
+        self.held = np.bincount(word, weights=rows, minlength=size).astype("<i8")[self.asked]
+
+    def counts_of_counts(self) -> np.ndarray:
+        return np.concatenate([kinds_by_count(count) for _, _, count, _ in self.orders])
+
+    def probabilities(self, answers: pa.Table) -> Iterator[tuple]:
+        """Of every order from 1: (context, word, count, probability behind the context, back-off weight of the context)."""
+        told = [a for _, a in blobs_of(answers, TOTALS)]
+        kinds, (total, self.distinct) = np.sum([a[1] for a in told], 0), np.sum([a[2] for a in told], 0)
+        self.total = int(total)
+        count = np.zeros(len(self.dictionary), np.int64)
+        count[self.asked] = np.concatenate([a[3] for a in told])
+        lower, _ = unigram(count, kinds, self.total)
+        yield None, None, count, lower, None
+        each = told[0][0].reshape(len(self.orders), -1)
+        for (context, word, seen_count, shorter), own in zip(self.orders, each, strict=True):
+            behind = lower[shorter]
+            seen, weight = backoff(context, seen_count, behind, own)
+            lower = np.where(seen_count > 0, seen, weight * behind)
+            yield context, word, seen_count, lower, weight
 
 
 def _asking(parts: int):
@@ -231,9 +298,8 @@ def _asking(parts: int):
         if not own.tasks:
             return rows_of([])
         src = table["dest"][0].as_py()
-        held = np.bincount(own.word_number, weights=own.count, minlength=len(own.words)).astype("<i8")
-        edge, kinds = cuts(own.words, parts), kinds_by_count(own.count)
-        return rows_of([(d, src, ASKED, pack(kinds, own.words[edge[d] : edge[d + 1]], held[edge[d] : edge[d + 1]])) for d in range(parts)])
+        edge, kinds = cuts(own.words, parts), own.counts_of_counts()
+        return rows_of([(d, src, ASKED, pack(kinds, own.words[edge[d] : edge[d + 1]], own.held[edge[d] : edge[d + 1]])) for d in range(parts)])
 
     return step
 
@@ -243,11 +309,11 @@ def _answering(table: pa.Table) -> pa.Table:
     asked = blobs_of(table, ASKED)
     words, number = np.unique(np.concatenate([a[1] for _, a in asked]), return_inverse=True)
     total = np.bincount(number, weights=np.concatenate([a[2] for _, a in asked]), minlength=len(words)).astype("<i8")
-    bigrams = np.sum([a[0] for _, a in asked], 0)
+    longer = np.sum([a[0] for _, a in asked], 0)
     own = np.array([total.sum(), (total > 0).sum()], "<i8")
     src, at, out = table["dest"][0].as_py(), 0, []
     for dest, a in asked:
-        out.append((dest, src, TOTALS, pack(bigrams, kinds_by_count(total), own, total[number[at : at + len(a[1])]])))
+        out.append((dest, src, TOTALS, pack(longer, kinds_by_count(total), own, total[number[at : at + len(a[1])]])))
         at += len(a[1])
     return rows_of(out)
 
@@ -255,23 +321,23 @@ def _answering(table: pa.Table) -> pa.Table:
 def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Partial sums for each document of each task."""
     out = [(0, s, k, b) for s, k, b in zip(*(table[c].to_pylist() for c in ("src", "kind", "blob")), strict=True) if k == DOCS]
-    own, told = Partition(table), [a for _, a in blobs_of(answers, TOTALS)]
+    own = Partition(table)
     if not own.tasks:
         return rows_of(out)
-    bigrams, kinds, (total, distinct) = told[0][0], np.sum([a[1] for a in told], 0), np.sum([a[2] for a in told], 0)
-    count = np.concatenate([a[3] for a in told])[own.word_number]
-    lower, _ = unigram(count, kinds, int(total))
-    seen, weight = backoff(own.context, own.count, lower, bigrams)
+    for context, _, seen, probability, _ in own.probabilities(answers):
+        if context is None:
+            count = seen
+    kind_word = own.orders[-1][1]
     with np.errstate(divide="ignore"):
-        score = np.log10(np.where(own.count > 0, seen, weight * lower))
-    base = np.log10(count + 0.5)
+        score = np.log10(probability)
+    base, known = np.log10(count + 0.5)[kind_word], (count > 0)[kind_word]
     at = 0
-    for src, (size, _, _, word, times, place) in own.tasks:
-        kind = np.repeat(own.kind[at : at + len(word)], times)
-        at += len(word)
+    for src, (size, _, times, place, *columns) in own.tasks:
+        kind = np.repeat(own.kind[at : at + len(columns[0])], times)
+        at += len(columns[0])
         doc, docs = (place >> 1).astype(np.int64), int(size[0])
-        sums = [np.bincount(doc, weights=x[kind], minlength=docs) for x in (score, base, count > 0)]
-        out.append((0, src, SUMS, pack(np.array([total, distinct], "<i8"), sums[0], sums[1], sums[2].astype("<u4"))))
+        sums = [np.bincount(doc, weights=x[kind], minlength=docs) for x in (score, base, known)]
+        out.append((0, src, SUMS, pack(np.array([own.total, own.distinct], "<i8"), sums[0], sums[1], sums[2].astype("<u4"))))
     return rows_of(out)
 
 
@@ -286,20 +352,27 @@ def _summed(table: pa.Table) -> pa.Table:
     })
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Scores of rows (doc_id, text, held_out); the rows not held out are the training texts."""
+def _asked(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The partitions of contexts, and what the partitions of words answer them."""
+    if order < 2:
+        raise ValueError(f"a back-off model has order 2 at least, not {order}")
     parts = shuffle_partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), utf8().alias("bytes"))
-    sent = texts.mapInArrow(_sent(parts), BLOBS).repartition(parts, "dest")
+    sent = texts.mapInArrow(_sent(parts, order), BLOBS).repartition(parts, "dest")
     asked = sent.groupBy("dest").applyInArrow(_asking(parts), BLOBS)
-    answered = asked.groupBy("dest").applyInArrow(_answering, BLOBS)
+    return sent, asked.groupBy("dest").applyInArrow(_answering, BLOBS)
+
+
+def scored(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Scores of rows (doc_id, text, held_out); the rows not held out are the training texts."""
+    sent, answered = _asked(docs, order)
     sums = sent.groupBy("dest").cogroup(answered.groupBy("dest")).applyInArrow(_scoring, BLOBS)
     return sums.groupBy("src").applyInArrow(_summed, OUT)
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(5, 1).alias("held_out"))
-    return scored(docs)
+    return scored(docs, ORDER)
 
 
 QUERIES = {"op5_katz_backoff": op5_katz_backoff}
