@@ -37,6 +37,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions an int that hash partitioning sends there, so that groups of these keys never share a task."""
+    number = F.col("id").cast("int")
+    part = F.pmod(F.hash(number), F.lit(parts)).alias("part")
+    found = dict(spark.range(40 * parts).select(number.alias("key"), part).groupBy("part").agg(F.min("key").alias("key")).collect())
+    # A partition that none of 40 keys apiece falls into (hardly ever) shares another's task.
+    return [found.get(p, 40 * parts + p) for p in range(parts)]
+
+
 def table_of(schema: str, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], df: DataFrame) -> DataFrame:
     return df.mapInArrow(step, schema)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import STEP_BYTES, documents, shuffle_partitions, utf8
+from tidemark.llm.frames import STEP_BYTES, documents, even_keys, shuffle_partitions, utf8
 from tidemark.llm.language import held_out
 from tidemark.llm.text import binary_parts, slices, word_hashes
 
@@ -138,14 +138,16 @@ def backoff(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, kinds: n
     return mass * np.repeat(scale, sizes), np.repeat(weight, sizes)
 
 
-def _sent(parts: int, order: int):
+def _sent(keys: list[int], order: int):
     """A task's distinct n-grams with their documents, to the partitions of contexts."""
+    parts = len(keys)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         ids: list = []
         held: list = []
-        grams: list = []
+        tokens: list = []
+        places: list = []
         owners: list = []
         counts: list = []
 
@@ -156,16 +158,13 @@ def _sent(parts: int, order: int):
             missing = np.array([i is None for i in ids], "u1")
             own = np.array(held, "u1")
             table = [np.array([i or 0 for i in ids], "<i8"), missing, own, np.concatenate(counts).astype("<i8")]
-            out = [(src % parts, src, DOCS, pack(*table))]
+            out = [(keys[src % parts], src, DOCS, pack(*table))]
             owner = np.concatenate(owners)
             # Columns: last word of the context, the word, then the context from its last word but one backwards.
-            words, numbers = np.unique(np.concatenate([c for g in grams for c in g]), return_inverse=True)
-            columns, at = [[] for _ in range(order)], 0
-            for g in grams:
-                for k, c in enumerate(g):
-                    columns[k].append(numbers[at : at + len(c)])
-                    at += len(c)
-            columns = [np.concatenate(c) for c in columns]
+            words, number_of = np.unique(np.concatenate([*tokens, [END]]), return_inverse=True)
+            at, end = np.concatenate(places), number_of[-1]
+            word, *context = (shifted(number_of[:-1], at, back, end) for back in range(order))
+            columns = [context[0], word, *context[1:]]
             sort = sorted_by(columns, len(words))
             columns = [c[sort] for c in columns]
             place = (owner * 2 + (1 - own[owner]))[sort].astype("<u2" if len(ids) < 1 << 15 else "<u4")
@@ -181,9 +180,10 @@ def _sent(parts: int, order: int):
                         used[c] = True
                     near = np.cumsum(used, dtype="<u4") - 1
                     near = near.astype("<u2") if near[-1] < 1 << 16 else near
-                    blob = pack(np.array([len(ids)], "<i8"), words[used], times.astype("<u4"), place[a:b], *(near[c] for c in kinds))
-                    out.append((dest, src, NGRAMS, blob))
-            for part in (ids, held, grams, owners, counts):
+                    times = times.astype("u1" if times.max() < 256 else "<u4")
+                    blob = pack(np.array([len(ids)], "<i8"), words[used], times, place[a:b], *(near[c] for c in kinds))
+                    out.append((keys[dest], src, NGRAMS, blob))
+            for part in (ids, held, tokens, places, owners, counts):
                 part.clear()
             return rows_of(out).combine_chunks().to_batches()
 
@@ -191,9 +191,11 @@ def _sent(parts: int, order: int):
             data, offsets = binary_parts(batch.column("bytes"))
             names, kept_out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for a, b in slices(offsets, STEP_BYTES):
-                columns, size = ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
+                hashes, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                size = np.diff(bounds) + 1
+                tokens.append(np.insert(hashes, bounds[1:], END))
+                places.append((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32))
                 owners.append(np.repeat(np.arange(b - a), size) + len(ids))
-                grams.append([columns[1], columns[0], *columns[2:]])
                 counts.append(size)
                 ids += names[a:b]
                 held += kept_out[a:b]
@@ -205,18 +207,11 @@ def _sent(parts: int, order: int):
     return step
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every token of these texts its hash, that of the token before it and so on, and the number of tokens of each text."""
-    hashes, bounds = word_hashes(data, offsets)
-    size = np.diff(bounds) + 1
-    tokens = np.insert(hashes, bounds[1:], END)
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-    columns = [tokens]
-    for back in range(1, order):
-        before = np.full_like(tokens, END)
-        before[back:] = np.where(place[back:] >= back, tokens[:-back], END)
-        columns.append(before)
-    return columns, size
+def shifted(tokens: np.ndarray, places: np.ndarray, back: int, end: int) -> np.ndarray:
+    """For tokens of texts, at these places of theirs, the token that many places before; ``end`` before the first."""
+    out = np.full_like(tokens, end)
+    out[back:] = np.where(places[back:] >= back, tokens[: len(tokens) - back], end)
+    return out
 
 
 def sorted_by(columns: list[np.ndarray], most: int) -> np.ndarray:
@@ -290,7 +285,7 @@ class Partition:
             yield context, word, seen_count, lower, weight
 
 
-def _asking(parts: int):
+def _asking(keys: list[int]):
     """From a partition of contexts to all of words: what it holds of each word, and its counts of counts."""
 
     def step(table: pa.Table) -> pa.Table:
@@ -298,24 +293,30 @@ def _asking(parts: int):
         if not own.tasks:
             return rows_of([])
         src = table["dest"][0].as_py()
-        edge, kinds = cuts(own.words, parts), own.counts_of_counts()
-        return rows_of([(d, src, ASKED, pack(kinds, own.words[edge[d] : edge[d + 1]], own.held[edge[d] : edge[d + 1]])) for d in range(parts)])
+        edge, kinds = cuts(own.words, len(keys)), own.counts_of_counts()
+        return rows_of([(k, src, ASKED, pack(kinds, own.words[a:b], own.held[a:b])) for k, a, b in zip(keys, edge[:-1], edge[1:], strict=True)])
 
     return step
 
 
-def _answering(table: pa.Table) -> pa.Table:
+def _answering(keys: list[int]):
     """From a partition of words: the total of every word asked for, and its counts of counts."""
-    asked = blobs_of(table, ASKED)
-    words, number = np.unique(np.concatenate([a[1] for _, a in asked]), return_inverse=True)
-    total = np.bincount(number, weights=np.concatenate([a[2] for _, a in asked]), minlength=len(words)).astype("<i8")
-    longer = np.sum([a[0] for _, a in asked], 0)
-    own = np.array([total.sum(), (total > 0).sum()], "<i8")
-    src, at, out = table["dest"][0].as_py(), 0, []
-    for dest, a in asked:
-        out.append((dest, src, TOTALS, pack(longer, kinds_by_count(total), own, total[number[at : at + len(a[1])]])))
-        at += len(a[1])
-    return rows_of(out)
+    number_of = {k: n for n, k in enumerate(keys)}
+
+    def step(table: pa.Table) -> pa.Table:
+        asked = blobs_of(table, ASKED)
+        words, number = np.unique(np.concatenate([a[1] for _, a in asked]), return_inverse=True)
+        total = np.bincount(number, weights=np.concatenate([a[2] for _, a in asked]), minlength=len(words)).astype("<i8")
+        longer = np.sum([a[0] for _, a in asked], 0)
+        own = np.array([total.sum(), (total > 0).sum()], "<i8")
+        # The answers come back in the order of the ranges of words.
+        src, at, out = number_of[table["dest"][0].as_py()], 0, []
+        for dest, a in asked:
+            out.append((dest, src, TOTALS, pack(longer, kinds_by_count(total), own, total[number[at : at + len(a[1])]])))
+            at += len(a[1])
+        return rows_of(out)
+
+    return step
 
 
 def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -356,11 +357,11 @@ def _asked(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     """The partitions of contexts, and what the partitions of words answer them."""
     if order < 2:
         raise ValueError(f"a back-off model has order 2 at least, not {order}")
-    parts = shuffle_partitions(docs.sparkSession)
+    keys = even_keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
     texts = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), utf8().alias("bytes"))
-    sent = texts.mapInArrow(_sent(parts, order), BLOBS).repartition(parts, "dest")
-    asked = sent.groupBy("dest").applyInArrow(_asking(parts), BLOBS)
-    return sent, asked.groupBy("dest").applyInArrow(_answering, BLOBS)
+    sent = texts.mapInArrow(_sent(keys, order), BLOBS).repartition(len(keys), "dest")
+    asked = sent.groupBy("dest").applyInArrow(_asking(keys), BLOBS)
+    return sent, asked.groupBy("dest").applyInArrow(_answering(keys), BLOBS)
 
 
 def scored(docs: DataFrame, order: int = 2) -> DataFrame:
