@@ -43,3 +43,18 @@ def test_empty_and_untrained(texts):
     df = texts[1]
     assert katz.scored(df.limit(0), 3).count() == 0
     assert {r.score for r in katz.scored(df.withColumn("held_out", F.lit(True)), 3).collect()} == {0.0}
+
+
+def test_stored_model_scores_alike(spark, texts, tmp_path):
+    df = texts[1]
+    for order in (2, 3):
+        stored = katz.write_model(df, str(tmp_path / f"m{order}"), order, buckets=4)
+        want = sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in katz.scored(df, order).collect())
+        assert sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in katz.scored_from(stored, df, order).collect()) == want
+        assert (tmp_path / f"m{order}" / f"order={order}" / "bucket=0").is_dir()
+        assert stored.where("order > 0").groupBy("order", "context_hash", "word_hash").count().where("count > 1").isEmpty()
+        # Unigrams and the unknown word add up to one, and so does every context with what it leaves to shorter ones.
+        assert stored.where("order < 2").agg(F.sum("prob")).first()[0] == pytest.approx(1)
+        assert stored.where("order = 1").agg(F.sum("count")).first()[0] == katz.scored(df, order).first().train_tokens
+    nothing = katz.write_model(df.withColumn("held_out", F.lit(True)), str(tmp_path / "none"), 2)
+    assert nothing.where("order > 0").count() == 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import STEP_BYTES, documents, even_keys, shuffle_partitions, utf8
 from tidemark.llm.language import held_out
-from tidemark.llm.text import binary_parts, slices, word_hashes
+from tidemark.llm.text import binary_parts, mixed, slices, word_hashes
 
 K = 5
 #: Longest n-grams of the query.
@@ -39,6 +39,9 @@ ORDER = 3
 FLUSH = 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
+#: Odd factor between the words of a context's hash.
+STEP = 0xD6E8FEB86659FD93
+MODEL = "order int, context_hash long, word_hash long, count long, prob double, backoff double"
 BLOBS = "dest int, src long, kind int, blob binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -162,6 +165,7 @@ def _sent(keys: list[int], order: int):
             owner = np.concatenate(owners)
             # Columns: last word of the context, the word, then the context from its last word but one backwards.
             words, number_of = np.unique(np.concatenate([*tokens, [END]]), return_inverse=True)
+            number_of = number_of.astype(np.uint32)
             at, end = np.concatenate(places), number_of[-1]
             word, *context = (shifted(number_of[:-1], at, back, end) for back in range(order))
             columns = [context[0], word, *context[1:]]
@@ -195,7 +199,7 @@ def _sent(keys: list[int], order: int):
                 size = np.diff(bounds) + 1
                 tokens.append(np.insert(hashes, bounds[1:], END))
                 places.append((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32))
-                owners.append(np.repeat(np.arange(b - a), size) + len(ids))
+                owners.append(np.repeat(np.arange(len(ids), len(ids) + b - a, dtype=np.uint32), size))
                 counts.append(size)
                 ids += names[a:b]
                 held += kept_out[a:b]
@@ -225,6 +229,12 @@ def sorted_by(columns: list[np.ndarray], most: int) -> np.ndarray:
     return np.argsort(key)
 
 
+def numbered(first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct ``first * size + second``, and the number of each row's among them."""
+    keys, kind = np.unique(first.astype(np.int64) * size + second, return_inverse=True)
+    return keys, kind.astype(np.uint32)
+
+
 class Partition:
     """The n-grams of one partition of contexts, added up over all tasks, with those of every lower order."""
 
@@ -233,6 +243,7 @@ class Partition:
         if not self.tasks:
             return
         self.dictionary, number = np.unique(np.concatenate([a[1] for _, a in self.tasks]), return_inverse=True)
+        number = number.astype(np.uint32)
         at, trained, order = 0, [], len(self.tasks[0][1]) - 4
         columns: list[list] = [[] for _ in range(order)]
         for _, a in self.tasks:
@@ -241,19 +252,18 @@ class Partition:
             for k in range(order):
                 columns[k].append(own[a[4 + k]])
             begin = np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)[:-1]])
-            trained.append(np.add.reduceat((a[3] & 1).astype(np.int64), begin))
+            trained.append(np.add.reduceat((a[3] & 1).astype(np.int32), begin))
         # Contexts and n-grams of each order are numbered in the order of their words; all of one context lie together.
         size, rows = len(self.dictionary), np.concatenate(trained)
-        last, word, *longer = (np.concatenate(c).astype(np.int64) for c in columns)
-        self.orders, context, shorter = [], last, word
-        self.heads = [(last, None)]
+        last, word, *longer = (np.concatenate(c) for c in columns)
+        del columns, number
+        self.orders, self.longer, context, shorter = [], [], last, word
         for k in range(2, order + 1):
             if k > 2:
-                heads, context_next = np.unique(context * size + longer[k - 3], return_inverse=True)
-                context = context_next
-                self.heads.append((heads % size, heads // size))
-            keys, kind = np.unique(context * size + word, return_inverse=True)
-            lower = np.empty(len(keys), np.int64)
+                heads, context = numbered(context, longer[k - 3], size)
+                self.longer.append((heads // size, heads % size))
+            keys, kind = numbered(context, word, size)
+            lower = np.empty(len(keys), np.uint32)
             lower[kind] = shorter
             count = np.bincount(kind, weights=rows, minlength=len(keys)).astype(np.int64)
             self.orders.append((keys // size, keys % size, count, lower))
@@ -342,6 +352,100 @@ def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
     return rows_of(out)
 
 
+def behind(context: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more word before it."""
+    return mixed(context * np.uint64(STEP) + before)
+
+
+def _modelled(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The n-grams seen in training of one partition of contexts; its unigrams are the words that are contexts there."""
+    own = Partition(table)
+    if not own.tasks:
+        return model_rows([])
+    told = [a for _, a in blobs_of(answers, TOTALS)]
+    kinds, context_hash, out = np.sum([a[1] for a in told], 0), own.dictionary, []
+    for n, (context, word, count, probability, weight) in enumerate(own.probabilities(answers), 1):
+        if n == 1:
+            # Every token is the context of the next one, and the end of a text that of its first word.
+            first, _, pairs, _ = own.orders[0]
+            times = np.bincount(first, weights=pairs, minlength=len(own.dictionary)).astype(np.int64)
+            probability, unknown = unigram(times, kinds, own.total)
+            out.append((n, np.zeros(len(times), np.uint64), own.dictionary, times, probability, np.ones(len(times))))
+            if END in own.dictionary[first]:
+                out.append((0, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64), np.array([unknown]), np.ones(1)))
+            continue
+        if n > 2:
+            shorter, before = own.longer[n - 3]
+            context_hash = behind(context_hash[shorter], own.dictionary[before])
+        out.append((n, context_hash[context], own.dictionary[word], count, probability, weight))
+    return model_rows(out)
+
+
+def model_rows(found: list[tuple]) -> pa.Table:
+    rows = [(n, c.view("<i8"), w.view("<i8"), k, p, b) for n, c, w, k, p, b in found]
+    each = [tuple(a[r[3] > 0] for a in (np.full(len(r[3]), r[0], np.int32), *r[1:])) for r in rows]
+    names, kinds = zip(*(f.split() for f in MODEL.split(", ")), strict=True)
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[k] for k in kinds]
+    whole = [np.concatenate(c) for c in zip(*each, strict=True)] if each else [[]] * len(names)
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, whole, kinds, strict=True)})
+
+
+def model(docs: DataFrame, order: int = 2) -> DataFrame:
+    """The n-grams of orders 1 to ``order`` seen in the training rows; order 0 is the one row of the unknown word.
+
+    ``prob`` is the word's probability behind the context, ``backoff`` the context's weight for words not seen behind it. Hashes are longs; the context
+    of a unigram is 0. Without training rows there is that row at most.
+    """
+    sent, answered = _asked(docs, order)
+    rows = sent.groupBy("dest").cogroup(answered.groupBy("dest")).applyInArrow(_modelled, MODEL)
+    return rows
+
+
+def write_model(docs: DataFrame, path: str, order: int = 2, buckets: int = 16) -> DataFrame:
+    """``model`` as Parquet, in folders by order and by bucket of context and word; a common context is spread over all buckets."""
+    bucket = F.pmod(F.xxhash64("context_hash", "word_hash"), F.lit(buckets)).cast("int")
+    model(docs, order).withColumn("bucket", bucket).write.partitionBy("order", "bucket").parquet(path)
+    return docs.sparkSession.read.schema(MODEL + ", bucket int").parquet(path)
+
+
+def scored_from(grams: DataFrame, docs: DataFrame, order: int) -> DataFrame:
+    """(doc_id, n_tokens, score) of each row by a stored model: one join an order for the n-grams, and one for the weights of the contexts.
+
+    A model without rows gives every token the probability 1, as ``scored`` does.
+    """
+    names = ["row", "doc_id", "word", *(f"c{k}" for k in range(2, order + 1))]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = binary_parts(batch.column("bytes"))
+            for a, b in slices(offsets, STEP_BYTES):
+                hashes, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                size = np.diff(bounds) + 1
+                token = np.insert(hashes, bounds[1:], END)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                contexts: list = []
+                for back in range(1, order):
+                    word = shifted(token, place, back, END)
+                    contexts.append(behind(contexts[-1], word) if contexts else word)
+                each = pa.array(np.repeat(np.arange(a, b), size))
+                rows = [batch.column("row").take(each), batch.column("doc_id").take(each), *(x.view("<i8") for x in (token, *contexts))]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in rows], names)
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("bytes"))
+    rows = texts.mapInArrow(step, ", ".join(f"{n} long" for n in names))
+    unknown = grams.where("order = 0").agg(F.max("prob").alias("unknown"))
+    chance = F.coalesce("p1", "unknown", F.lit(1.0))
+    seen = grams.where("order = 1").select(F.col("word_hash").alias("word"), F.col("prob").alias("p1"))
+    rows = rows.join(seen, "word", "left").join(F.broadcast(unknown))
+    for k in range(2, order + 1):
+        own = grams.where(F.col("order") == k)
+        seen = own.select(F.col("context_hash").alias(f"c{k}"), F.col("word_hash").alias("word"), F.col("prob").alias(f"p{k}"))
+        weights = own.groupBy(F.col("context_hash").alias(f"c{k}")).agg(F.max("backoff").alias(f"b{k}"))
+        rows = rows.join(seen, [f"c{k}", "word"], "left").join(weights, f"c{k}", "left")
+        chance = F.coalesce(f"p{k}", F.coalesce(f"b{k}", F.lit(1.0)) * chance)
+    return rows.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.log10(chance)).alias("score")).drop("row")
+
+
 def _summed(table: pa.Table) -> pa.Table:
     """The rows of the documents of one task's batch."""
     (_, (ids, missing, held, tokens)), parts = blobs_of(table, DOCS)[0], [a for _, a in blobs_of(table, SUMS)]
