@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,21 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their sizes and types."""
+    """Arrays with their sizes and types; the first bytes of all values, then the second ones and so on, which the shuffle can compress."""
     head = [np.array([len(arrays)], "<i8")]
     for a in arrays:
         head.append(np.array([len(a), int(a.dtype.str[2:]), ord(a.dtype.str[1])], "<i8"))
-    return b"".join(a.tobytes() for a in [*head, *arrays])
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return b"".join([*(a.tobytes() for a in head), *planes])
 
 
-def unpack(blob: bytes) -> list[np.ndarray]:
+def unpack(blob: bytes | pa.Buffer) -> list[np.ndarray]:
     count = int(np.frombuffer(blob, "<i8", 1)[0])
     heads = np.frombuffer(blob, "<i8", 3 * count, 8).reshape(-1, 3)
     out, at = [], 8 + 24 * count
     for size, width, kind in heads.tolist():
-        out.append(np.frombuffer(blob, f"<{chr(kind)}{width}" if width > 1 else f"{chr(kind)}1", size, at))
+        planes = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<{chr(kind)}{width}" if width > 1 else f"{chr(kind)}1"))
         at += size * width
     return out
 
@@ -72,8 +75,8 @@ def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def blobs_of(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
     """(source, arrays) in the order of the sources."""
-    found = zip(table["src"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True)
-    return sorted(((s, unpack(b)) for s, k, b in found if k == kind), key=lambda x: x[0])
+    own = table.filter(pc.equal(table["kind"], kind))
+    return sorted(((s, unpack(b.as_buffer())) for s, b in zip(own["src"].to_pylist(), own["blob"], strict=True)), key=lambda x: x[0])
 
 
 def range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -185,7 +188,7 @@ def _sent(keys: list[int], order: int):
                     near = np.cumsum(used, dtype="<u4") - 1
                     near = near.astype("<u2") if near[-1] < 1 << 16 else near
                     times = times.astype("u1" if times.max() < 256 else "<u4")
-                    blob = pack(np.array([len(ids)], "<i8"), words[used], times, place[a:b], *(near[c] for c in kinds))
+                    blob = pack(np.array([len(ids)], "<i8"), np.diff(words[used], prepend=np.uint64(0)), times, place[a:b], *(near[c] for c in kinds))
                     out.append((keys[dest], src, NGRAMS, blob))
             for part in (ids, held, tokens, places, owners, counts):
                 part.clear()
@@ -242,7 +245,7 @@ class Partition:
         self.tasks = blobs_of(table, NGRAMS)
         if not self.tasks:
             return
-        self.dictionary, number = np.unique(np.concatenate([a[1] for _, a in self.tasks]), return_inverse=True)
+        self.dictionary, number = np.unique(np.concatenate([np.cumsum(a[1], dtype=np.uint64) for _, a in self.tasks]), return_inverse=True)
         number = number.astype(np.uint32)
         at, trained, order = 0, [], len(self.tasks[0][1]) - 4
         columns: list[list] = [[] for _ in range(order)]
@@ -331,7 +334,8 @@ def _answering(keys: list[int]):
 
 def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Partial sums for each document of each task."""
-    out = [(0, s, k, b) for s, k, b in zip(*(table[c].to_pylist() for c in ("src", "kind", "blob")), strict=True) if k == DOCS]
+    docs_of = table.filter(pc.equal(table["kind"], DOCS))
+    out = [(0, *r) for r in zip(*(docs_of[c].to_pylist() for c in ("src", "kind", "blob")), strict=True)]
     own = Partition(table)
     if not own.tasks:
         return rows_of(out)
