@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def texts(spark):
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
-def test_any_order_agrees_with_dictionaries(texts, order, monkeypatch):
+def test_any_order_agrees_with_dictionaries(texts, order):
     rows, df = texts
     want = brute.katz_of_order(rows, order, {i for i, _ in rows if i is not None and i % 5 == 1})
     found: dict = {}
@@ -58,3 +59,21 @@ def test_stored_model_scores_alike(spark, texts, tmp_path):
         assert stored.where("order = 1").agg(F.sum("count")).first()[0] == katz.scored(df, order).first().train_tokens
     nothing = katz.write_model(df.withColumn("held_out", F.lit(True)), str(tmp_path / "none"), 2)
     assert nothing.where("order > 0").count() == 0
+
+
+def test_blocks_of_contexts_change_nothing(texts, monkeypatch):
+    sent, answered = (x.toArrow() for x in katz._asked(texts[1], 3))
+    found = []
+    for rows in (10**9, 7):
+        monkeypatch.setattr(katz, "BLOCK_ROWS", rows)
+        sums = {}
+        for dest in set(sent["dest"].to_pylist()):
+            own, told = (x.filter(pc.equal(x["dest"], dest)) for x in (sent, answered))
+            assert rows == 7 or len(list(katz.Partition(own).blocks() if len(katz.blobs_of(own, katz.NGRAMS)) else [])) <= 1
+            sums[dest] = [a for _, a in katz.blobs_of(katz._scoring(own, told), katz.SUMS)]
+        found.append(sums)
+    assert found[0].keys() == found[1].keys()
+    for dest, each in found[0].items():
+        for a, b in zip(each, found[1][dest], strict=True):
+            for x, y in zip(a, b, strict=True):
+                assert list(x) == pytest.approx(list(y))

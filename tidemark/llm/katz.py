@@ -38,6 +38,8 @@ K = 5
 #: Longest n-grams of the query.
 ORDER = 3
 FLUSH = 2_000_000
+#: N-grams that a partition adds up at a time, unless one context has more.
+BLOCK_ROWS = 400_000
 END = np.uint64(0x5851F42D4C957F2D)
 NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
 #: Odd factor between the words of a context's hash.
@@ -239,63 +241,81 @@ def numbered(first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 class Partition:
-    """The n-grams of one partition of contexts, added up over all tasks, with those of every lower order."""
+    """The n-grams that all tasks sent to one partition of contexts, to be added up in blocks of whole contexts."""
 
     def __init__(self, table: pa.Table):
         self.tasks = blobs_of(table, NGRAMS)
         if not self.tasks:
             return
-        self.dictionary, number = np.unique(np.concatenate([np.cumsum(a[1], dtype=np.uint64) for _, a in self.tasks]), return_inverse=True)
-        number = number.astype(np.uint32)
-        at, trained, order = 0, [], len(self.tasks[0][1]) - 4
-        columns: list[list] = [[] for _ in range(order)]
-        for _, a in self.tasks:
-            own = number[at : at + len(a[1])]
-            at += len(a[1])
-            for k in range(order):
-                columns[k].append(own[a[4 + k]])
-            begin = np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)[:-1]])
-            trained.append(np.add.reduceat((a[3] & 1).astype(np.int32), begin))
+        lists = [np.cumsum(a[1], dtype=np.uint64) for _, a in self.tasks]
+        self.dictionary, number = np.unique(np.concatenate(lists), return_inverse=True)
+        size, ends = len(self.dictionary), np.cumsum([len(x) for x in lists])
+        self.number, self.begin, self.trained = np.split(number.astype(np.uint32), ends[:-1]), [], []
+        held, asked, rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
+        for near, (_, a) in zip(self.number, self.tasks, strict=True):
+            self.begin.append(np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)]))
+            self.trained.append(np.add.reduceat((a[3] & 1).astype(np.int32), self.begin[-1][:-1]))
+            word = near[a[5]]
+            asked[word] = True
+            held += np.bincount(word, weights=self.trained[-1], minlength=size)
+            rows += np.bincount(near[a[4]], minlength=size)
+        self.asked = np.flatnonzero(asked)
+        self.words, self.held = self.dictionary[self.asked], held.astype("<i8")[self.asked]
+        blocks = rows.sum() // BLOCK_ROWS + 1
+        inner = np.searchsorted(np.cumsum(rows), rows.sum() * np.arange(1, blocks) // blocks)
+        edges = np.unique(np.concatenate([[0], inner, [size]]))
+        self.cuts = np.array([np.searchsorted(near[a[4]], edges) for near, (_, a) in zip(self.number, self.tasks, strict=True)])
+
+    def blocks(self) -> Iterator[Block]:
+        for k in range(self.cuts.shape[1] - 1):
+            yield Block(self, self.cuts[:, k].tolist(), self.cuts[:, k + 1].tolist())
+
+
+class Block:
+    """The n-grams of some contexts, added up over all tasks, with those of every lower order."""
+
+    def __init__(self, whole: Partition, first: list[int], last: list[int]):
+        self.size, self.spans = len(whole.dictionary), list(zip(first, last, strict=True))
+        each = list(zip(whole.number, whole.tasks, self.spans, strict=True))
+        near, word, *longer = (np.concatenate([n[a[4 + k][x:y]] for n, (_, a), (x, y) in each]) for k in range(len(whole.tasks[0][1]) - 4))
+        rows = np.concatenate([t[x:y] for t, (x, y) in zip(whole.trained, self.spans, strict=True)])
         # Contexts and n-grams of each order are numbered in the order of their words; all of one context lie together.
-        size, rows = len(self.dictionary), np.concatenate(trained)
-        last, word, *longer = (np.concatenate(c) for c in columns)
-        del columns, number
-        self.orders, self.longer, context, shorter = [], [], last, word
-        for k in range(2, order + 1):
-            if k > 2:
-                heads, context = numbered(context, longer[k - 3], size)
-                self.longer.append((heads // size, heads % size))
-            keys, kind = numbered(context, word, size)
+        self.orders, self.longer, context, shorter = [], [], near, word
+        for k in range(len(longer) + 1):
+            if k:
+                heads, context = numbered(context, longer[k - 1], self.size)
+                self.longer.append((heads // self.size, heads % self.size))
+            keys, kind = numbered(context, word, self.size)
             lower = np.empty(len(keys), np.uint32)
             lower[kind] = shorter
             count = np.bincount(kind, weights=rows, minlength=len(keys)).astype(np.int64)
-            self.orders.append((keys // size, keys % size, count, lower))
+            self.orders.append((keys // self.size, keys % self.size, count, lower))
             shorter = kind
         self.kind = shorter  # number of the longest n-gram behind each task's own
-        asked = np.zeros(size, bool)
-        asked[word] = True
-        self.asked = np.flatnonzero(asked)
-        self.words = self.dictionary[self.asked]
-        self.held = np.bincount(word, weights=rows, minlength=size).astype("<i8")[self.asked]
 
     def counts_of_counts(self) -> np.ndarray:
         return np.concatenate([kinds_by_count(count) for _, _, count, _ in self.orders])
 
-    def probabilities(self, answers: pa.Table) -> Iterator[tuple]:
-        """Of every order from 1: (context, word, count, probability behind the context, back-off weight of the context)."""
+    def probabilities(self, told: Told) -> Iterator[tuple]:
+        """Of every order from 2: (context, word, count, probability behind the context, back-off weight of the context)."""
+        lower = told.unigrams
+        for (context, word, count, shorter), own in zip(self.orders, told.longer, strict=True):
+            less = lower[shorter]
+            seen, weight = backoff(context, count, less, own)
+            lower = np.where(count > 0, seen, weight * less)
+            yield context, word, count, lower, weight
+
+
+class Told:
+    """What the partitions of words answered a partition of contexts."""
+
+    def __init__(self, own: Partition, answers: pa.Table):
         told = [a for _, a in blobs_of(answers, TOTALS)]
-        kinds, (total, self.distinct) = np.sum([a[1] for a in told], 0), np.sum([a[2] for a in told], 0)
-        self.total = int(total)
-        count = np.zeros(len(self.dictionary), np.int64)
-        count[self.asked] = np.concatenate([a[3] for a in told])
-        lower, _ = unigram(count, kinds, self.total)
-        yield None, None, count, lower, None
-        each = told[0][0].reshape(len(self.orders), -1)
-        for (context, word, seen_count, shorter), own in zip(self.orders, each, strict=True):
-            behind = lower[shorter]
-            seen, weight = backoff(context, seen_count, behind, own)
-            lower = np.where(seen_count > 0, seen, weight * behind)
-            yield context, word, seen_count, lower, weight
+        self.kinds, (total, distinct) = np.sum([a[1] for a in told], 0), np.sum([a[2] for a in told], 0).tolist()
+        self.total, self.distinct, self.longer = int(total), int(distinct), told[0][0].reshape(-1, K + 2)
+        self.count = np.zeros(len(own.dictionary), np.int64)
+        self.count[own.asked] = np.concatenate([a[3] for a in told])
+        self.unigrams, self.unknown = unigram(self.count, self.kinds, self.total)
 
 
 def _asking(keys: list[int]):
@@ -306,7 +326,7 @@ def _asking(keys: list[int]):
         if not own.tasks:
             return rows_of([])
         src = table["dest"][0].as_py()
-        edge, kinds = cuts(own.words, len(keys)), own.counts_of_counts()
+        edge, kinds = cuts(own.words, len(keys)), np.sum([b.counts_of_counts() for b in own.blocks()], 0)
         return rows_of([(k, src, ASKED, pack(kinds, own.words[a:b], own.held[a:b])) for k, a, b in zip(keys, edge[:-1], edge[1:], strict=True)])
 
     return step
@@ -339,20 +359,21 @@ def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
     own = Partition(table)
     if not own.tasks:
         return rows_of(out)
-    for context, _, seen, probability, _ in own.probabilities(answers):
-        if context is None:
-            count = seen
-    kind_word = own.orders[-1][1]
-    with np.errstate(divide="ignore"):
-        score = np.log10(probability)
-    base, known = np.log10(count + 0.5)[kind_word], (count > 0)[kind_word]
-    at = 0
-    for src, (size, _, times, place, *columns) in own.tasks:
-        kind = np.repeat(own.kind[at : at + len(columns[0])], times)
-        at += len(columns[0])
-        doc, docs = (place >> 1).astype(np.int64), int(size[0])
-        sums = [np.bincount(doc, weights=x[kind], minlength=docs) for x in (score, base, known)]
-        out.append((0, src, SUMS, pack(np.array([own.total, own.distinct], "<i8"), sums[0], sums[1], sums[2].astype("<u4"))))
+    told = Told(own, answers)
+    sums = [np.zeros((3, int(a[0][0]))) for _, a in own.tasks]
+    each = np.log10(told.count + 0.5), told.count > 0
+    for block in own.blocks():
+        *_, (_, word, _, probability, _) = block.probabilities(told)
+        with np.errstate(divide="ignore"):
+            values = [np.log10(probability), *(x[word] for x in each)]
+        at = 0
+        for (_, a), begin, (x, y), total in zip(own.tasks, own.begin, block.spans, sums, strict=True):
+            kind, doc = np.repeat(block.kind[at : at + y - x], a[2][x:y]), (a[3][begin[x] : begin[y]] >> 1).astype(np.int64)
+            at += y - x
+            for row, value in zip(total, values, strict=True):
+                row += np.bincount(doc, weights=value[kind], minlength=len(row))
+    for (src, _), (score, base, known) in zip(own.tasks, sums, strict=True):
+        out.append((0, src, SUMS, pack(np.array([told.total, told.distinct], "<i8"), score, base, known.astype("<u4"))))
     return rows_of(out)
 
 
@@ -366,22 +387,21 @@ def _modelled(table: pa.Table, answers: pa.Table) -> pa.Table:
     own = Partition(table)
     if not own.tasks:
         return model_rows([])
-    told = [a for _, a in blobs_of(answers, TOTALS)]
-    kinds, context_hash, out = np.sum([a[1] for a in told], 0), own.dictionary, []
-    for n, (context, word, count, probability, weight) in enumerate(own.probabilities(answers), 1):
-        if n == 1:
-            # Every token is the context of the next one, and the end of a text that of its first word.
-            first, _, pairs, _ = own.orders[0]
-            times = np.bincount(first, weights=pairs, minlength=len(own.dictionary)).astype(np.int64)
-            probability, unknown = unigram(times, kinds, own.total)
-            out.append((n, np.zeros(len(times), np.uint64), own.dictionary, times, probability, np.ones(len(times))))
-            if END in own.dictionary[first]:
-                out.append((0, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64), np.array([unknown]), np.ones(1)))
-            continue
-        if n > 2:
-            shorter, before = own.longer[n - 3]
-            context_hash = behind(context_hash[shorter], own.dictionary[before])
-        out.append((n, context_hash[context], own.dictionary[word], count, probability, weight))
+    told, out = Told(own, answers), []
+    for block in own.blocks():
+        # Every token is the context of the next one, and the end of a text that of its first word.
+        first, _, pairs, _ = block.orders[0]
+        times = np.bincount(first, weights=pairs, minlength=block.size).astype(np.int64)
+        chance, unknown = unigram(times, told.kinds, told.total)
+        out.append((1, np.zeros(block.size, np.uint64), own.dictionary, times, chance, np.ones(block.size)))
+        if END in own.dictionary[first]:
+            out.append((0, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64), np.array([unknown]), np.ones(1)))
+        context_hash = own.dictionary
+        for n, (context, word, count, probability, weight) in enumerate(block.probabilities(told), 2):
+            if n > 2:
+                shorter, before = block.longer[n - 3]
+                context_hash = behind(context_hash[shorter], own.dictionary[before])
+            out.append((n, context_hash[context], own.dictionary[word], count, probability, weight))
     return model_rows(out)
 
 
