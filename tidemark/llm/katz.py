@@ -37,9 +37,9 @@ from tidemark.llm.text import binary_parts, mixed, slices, word_hashes
 K = 5
 #: Longest n-grams of the query.
 ORDER = 3
-FLUSH = 1_500_000
+FLUSH = 2_000_000
 #: N-grams that a partition adds up at a time, unless one context has more.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 400_000
 END = np.uint64(0x5851F42D4C957F2D)
 NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
 #: Odd factor between the words of a context's hash.
@@ -253,7 +253,7 @@ class Partition:
         self.number, self.begin, self.trained = np.split(number.astype(np.uint32), ends[:-1]), [], []
         held, asked, rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
         for near, (_, a) in zip(self.number, self.tasks, strict=True):
-            self.begin.append(np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)]).astype(np.uint32))
+            self.begin.append(np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)]))
             self.trained.append(np.add.reduceat((a[3] & 1).astype(np.int32), self.begin[-1][:-1]))
             word = near[a[5]]
             asked[word] = True
