@@ -248,6 +248,21 @@ def test_quality_counts(spark, odd, none):
     assert quality.kept_documents(df.withColumn("kept", F.lit(1)), labels(spark)).columns == ["doc_id", "text", "kept"]
 
 
+def test_quality_counts_every_labelled_document(spark):
+    word = F.concat(F.lit("w"), F.col("id") % 7)
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(word, F.lit(" "), F.col("id").cast("string")).alias("text"))
+    known = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    # The target is the whole corpus here, so no bucket tells them apart.
+    assert [r[0] for r in quality.judged(docs, known).select("llr_score").distinct().collect()] == [0.0]
+
+
+def test_quality_with_many_labels(spark, small, monkeypatch, no_broadcast):
+    known = spark.read.parquet(f"{SF}/labels.parquet")
+    few = sorted(tuple(r) for r in quality.judged(small, known).collect())
+    monkeypatch.setattr(quality, "MOST_KEYS", 0)
+    assert sorted(tuple(r) for r in quality.judged(small, known).collect()) == few
+
+
 def test_quality_parts_good_from_bad(spark):
     rows = quality.op7_quality_rules(spark, "/root/testdata/sf0.01").collect()
     known = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
