@@ -312,10 +312,11 @@ class WordSplit:
 
 
 def q_udf_table(spark, d):
-    split = F.udtf(WordSplit, returnType="place: int, word: string", useArrow=True)
+    # Arrow would make a batch of each row's words, ten times the work; and the rows are dealt out, as a file of few row groups is few tasks.
+    split = F.udtf(WordSplit, returnType="place: int, word: string", useArrow=False)
     spark.udtf.register("word_split", split)
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    parts.createOrReplaceTempView("named_parts")
+    parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).createOrReplaceTempView("named_parts")
     return spark.sql("SELECT p_partkey, w.place, w.word FROM named_parts, LATERAL word_split(p_name) w")
 
 
