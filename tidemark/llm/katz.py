@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import STEP_BYTES, documents, even_keys, shuffle_partitions, utf8
+from tidemark.llm.frames import BLOB_ROWS, STEP_BYTES, documents, even_keys, shuffle_partitions, utf8
 from tidemark.llm.language import held_out
 from tidemark.llm.text import binary_parts, mixed, slices, word_hashes
 
@@ -76,9 +76,9 @@ def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def blobs_of(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
-    """(source, arrays) in the order of the sources."""
-    own = table.filter(pc.equal(table["kind"], kind))
-    return sorted(((s, unpack(b.as_buffer())) for s, b in zip(own["src"].to_pylist(), own["blob"], strict=True)), key=lambda x: x[0])
+    """(source, arrays) in the order of the sources; the blobs are read where they lie."""
+    rows = zip(table["kind"].to_pylist(), table["src"].to_pylist(), table["blob"], strict=True)
+    return sorted(((s, unpack(b.as_buffer())) for k, s, b in rows if k == kind), key=lambda x: x[0])
 
 
 def range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def _sent(keys: list[int], order: int):
                     out.append((keys[dest], src, NGRAMS, blob))
             for part in (ids, held, tokens, places, owners, counts):
                 part.clear()
-            return rows_of(out).combine_chunks().to_batches()
+            return rows_of(out).to_batches(BLOB_ROWS)
 
         for batch in batches:
             data, offsets = binary_parts(batch.column("bytes"))
