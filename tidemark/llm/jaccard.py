@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import STEP_BYTES, addressed, documents, shuffle_partitions, utf8, without_rows, written
+from tidemark.llm.frames import BLOB_ROWS, SET_ROWS, STEP_BYTES, addressed, documents, portions, shuffle_partitions, utf8, without_rows, written
 from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
 
 WORDS = 5
 FIRST = 3
 LEAF = 64
-FLUSH = 1_500_000
+FLUSH = 500_000
 BLOCK_SETS = 128
 BLOCK_TOKENS = 1 << 20
 MATCHES = 1 << 21
@@ -147,7 +147,7 @@ def _blobs(rows: list) -> pa.Table:
 
 
 def _of_kind(table: pa.Table, number: int, kind: list) -> dict:
-    return unpacked([b for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == number], kind)
+    return unpacked([b.as_buffer() for k, b in zip(table["kind"].to_pylist(), table["blob"], strict=True) if k == number], kind)
 
 
 def _sent(buckets: int):
@@ -171,7 +171,7 @@ def _sent(buckets: int):
             tokens.clear()
             owners.clear()
             held = 0
-            return _blobs(rows).combine_chunks().to_batches()
+            return _blobs(rows).to_batches(BLOB_ROWS)
 
         for batch in batches:
             data, offsets = binary_parts(batch.column("bytes"))
@@ -240,14 +240,15 @@ def _candidates(docs: pa.Table, shared: pa.Table) -> pa.Table:
                         out.append((doc, len(own), set_id(own), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
     columns = list(zip(*out, strict=True)) if out else [()] * 7
     names = [f.split()[0] for f in CANDIDATE.split(", ")]
-    return pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size", "set") else pa.binary()) for n, c in zip(names, columns, strict=True)})
+    found = pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size", "set") else pa.binary()) for n, c in zip(names, columns, strict=True)})
+    return pa.Table.from_batches(found.to_batches(SET_ROWS), found.schema)
 
 
 def _first_tiles(buckets: int):
     """A candidate's set to the tiles of its first shared tokens;."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             out = []
             for r in batch.to_pylist():
                 for t in np.frombuffer(r["shared"], "<u8")[:FIRST].tolist():
@@ -291,7 +292,7 @@ def _rooted(buckets: int):
     """A candidate's shared tokens, with its component, to the tokens' buckets."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             shared = [np.frombuffer(x, "<u8") for x in batch.column("shared").to_pylist()]
             sizes = [len(x) for x in shared]
             if not sum(sizes):
@@ -301,7 +302,7 @@ def _rooted(buckets: int):
                 "token": np.concatenate(shared), "excess": 7 * ranks - np.repeat(batch.column("size").to_numpy(), sizes),
                 "doc": np.repeat(batch.column("doc").to_numpy(), sizes), "root": np.repeat(batch.column("root").to_numpy(), sizes),
             }
-            yield from _blobs(dealt(rows, (rows["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, ROOTED)).combine_chunks().to_batches()
+            yield from _blobs(dealt(rows, (rows["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, ROOTED)).to_batches(BLOB_ROWS)
 
     return step
 
@@ -339,7 +340,7 @@ def _crossing(table: pa.Table) -> pa.Table:
 
 def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ranks of the crossing tokens in the place of all shared ones."""
-    for batch in batches:
+    for batch in portions(batches):
         ranks = []
         for shared, every, own in zip(*(batch.column(n).to_pylist() for n in ("shared", "ranks", "crossing")), strict=True):
             at = np.searchsorted(np.frombuffer(shared, "<u8"), np.frombuffer(own, "<u8"))
@@ -391,7 +392,7 @@ def tile_pairs(doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.n
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
         kept = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.frames import STEP_BYTES, documents, shuffle_partitions, utf8, written
+from tidemark.llm.frames import BLOB_ROWS, STEP_BYTES, documents, shuffle_partitions, utf8, written
 from tidemark.llm.text import between, binary_parts, rolling, running, slices
 
 WIDTH, GRAM = 100, 32
@@ -49,7 +49,7 @@ def packed(rows: Rows, kind: list) -> bytes:
     return b"".join(np.ascontiguousarray(rows[n], t).tobytes() for n, t in kind)
 
 
-def unpacked(blobs: list[bytes], kind: list) -> Rows:
+def unpacked(blobs: list[pa.Buffer], kind: list) -> Rows:
     size = sum(np.dtype(t).itemsize for _, t in kind)
     parts: dict[str, list] = {n: [np.zeros(0, t)] for n, t in kind}
     for blob in blobs:
@@ -184,7 +184,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _of_kind(table: pa.Table, number: int, kind: list) -> Rows:
-    return unpacked([b for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == number], kind)
+    return unpacked([b.as_buffer() for k, b in zip(table["kind"].to_pylist(), table["blob"], strict=True) if k == number], kind)
 
 
 def _keyed(docs: DataFrame, parts: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _collected(parts: int, buckets: int):
         done, kept = whole_spans(chosen(rows, order[late])), chosen(rows, order[~late])
         out = dealt(kept, bucket_of(kept["gram"], buckets), ANCHOR, ANCHORS)
         out += [(dest % buckets, SPAN, blob) for dest, _, blob in dealt(done, part_of(done["doc"], parts), SPAN, SPANS)]
-        return _blobs(out).combine_chunks().to_batches()
+        return _blobs(out).to_batches(BLOB_ROWS)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Rows] = []
