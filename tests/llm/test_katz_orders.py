@@ -77,3 +77,21 @@ def test_blocks_of_contexts_change_nothing(texts, monkeypatch):
         for a, b in zip(each, found[1][dest], strict=True):
             for x, y in zip(a, b, strict=True):
                 assert list(x) == pytest.approx(list(y))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_common_context_is_cut(spark, order, monkeypatch):
+    rows = [(k, " ".join(f"a{(k * 31 + n) % 211} the b{(k * 17 + n * n) % 97}" for n in range(80)), k % 4 == 1) for k in range(24)]
+    sent, answered = (x.toArrow() for x in katz._asked(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), order))
+    grams: dict = {}
+    for size in (10**9, 100):
+        monkeypatch.setattr(katz, "BLOCK_ROWS", size)
+        for dest in set(sent["dest"].to_pylist()):
+            own, told = (x.filter(pc.equal(x["dest"], dest)) for x in (sent, answered))
+            if len(katz.blobs_of(own, katz.NGRAMS)):
+                largest = max(len(b.kind) for b in katz.Partition(own).blocks())
+                assert size > 100 or largest <= 2 * size
+            grams.setdefault(size, []).extend(katz._modelled(own, told).to_pylist())
+    whole, cut = (sorted(tuple(r.values()) for r in found) for found in grams.values())
+    assert [r[:4] for r in whole] == [r[:4] for r in cut]
+    assert [r[4:] for r in cut] == [pytest.approx(r[4:]) for r in whole]

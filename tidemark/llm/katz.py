@@ -21,7 +21,7 @@ training tokens every probability is 1. Further columns are ignored. The counts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,12 @@ K = 5
 #: Longest n-grams of the query.
 ORDER = 3
 FLUSH = 2_000_000
-#: N-grams that a partition adds up at a time, unless one context has more.
+#: N-grams that a partition adds up at a time, unless the last two words of a context have more.
 BLOCK_ROWS = 400_000
 END = np.uint64(0x5851F42D4C957F2D)
 NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
+#: Arrays of a blob of n-grams; the further words of the contexts follow.
+SIZE, WORDS, TIMES, PLACES, CONTEXT, WORD, FURTHER = range(7)
 #: Odd factor between the words of a context's hash.
 STEP = 0xD6E8FEB86659FD93
 MODEL = "order int, context_hash long, word_hash long, count long, prob double, backoff double"
@@ -58,15 +60,26 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join([*(a.tobytes() for a in head), *planes])
 
 
+class Packed:
+    """The arrays of a blob, read where they lie; only the rows asked for are unpacked."""
+
+    def __init__(self, blob: bytes | pa.Buffer):
+        count = int(np.frombuffer(blob, "<i8", 1)[0])
+        heads = np.frombuffer(blob, "<i8", 3 * count, 8).reshape(-1, 3)
+        self.arrays, at = [], 8 + 24 * count
+        for size, width, kind in heads.tolist():
+            planes = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
+            self.arrays.append((planes, f"<{chr(kind)}{width}" if width > 1 else f"{chr(kind)}1"))
+            at += size * width
+
+    def part(self, number: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        planes, kind = self.arrays[number]
+        return np.ascontiguousarray(planes[:, first:last].T).reshape(-1).view(kind)
+
+
 def unpack(blob: bytes | pa.Buffer) -> list[np.ndarray]:
-    count = int(np.frombuffer(blob, "<i8", 1)[0])
-    heads = np.frombuffer(blob, "<i8", 3 * count, 8).reshape(-1, 3)
-    out, at = [], 8 + 24 * count
-    for size, width, kind in heads.tolist():
-        planes = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<{chr(kind)}{width}" if width > 1 else f"{chr(kind)}1"))
-        at += size * width
-    return out
+    packed = Packed(blob)
+    return [packed.part(k) for k in range(len(packed.arrays))]
 
 
 def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -75,10 +88,10 @@ def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("dest", "src", "kind", "blob"), columns, kinds, strict=True)})
 
 
-def blobs_of(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
+def blobs_of(table: pa.Table, kind: int, read: Callable = unpack) -> list[tuple]:
     """(source, arrays) in the order of the sources; the blobs are read where they lie."""
     rows = zip(table["kind"].to_pylist(), table["src"].to_pylist(), table["blob"], strict=True)
-    return sorted(((s, unpack(b.as_buffer())) for k, s, b in rows if k == kind), key=lambda x: x[0])
+    return sorted(((s, read(b.as_buffer())) for k, s, b in rows if k == kind), key=lambda x: x[0])
 
 
 def range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -168,14 +181,15 @@ def _sent(keys: list[int], order: int):
             table = [np.array([i or 0 for i in ids], "<i8"), missing, own, np.concatenate(counts).astype("<i8")]
             out = [(keys[src % parts], src, DOCS, pack(*table))]
             owner = np.concatenate(owners)
-            # Columns: last word of the context, the word, then the context from its last word but one backwards.
-            words, number_of = np.unique(np.concatenate([*tokens, [END]]), return_inverse=True)
-            number_of = number_of.astype(np.uint32)
-            at, end = np.concatenate(places), number_of[-1]
-            word, *context = (shifted(number_of[:-1], at, back, end) for back in range(order))
-            columns = [context[0], word, *context[1:]]
-            sort = sorted_by(columns, len(words))
-            columns = [c[sort] for c in columns]
+            words = np.unique(np.concatenate([*(x for x, _ in tokens), [END]]))
+            number_of = np.concatenate([np.searchsorted(words, x).astype(np.uint32)[each] for x, each in tokens])
+            tokens.clear()
+            at, end = np.concatenate(places), np.searchsorted(words, END).astype(np.uint32)
+            word, *context = (shifted(number_of, at, back, end) for back in range(order))
+            # Columns: last word of the context, the word, then the context from its last word but one backwards; the word is sorted by last.
+            sort = sorted_by([*context, word], len(words))
+            columns = [c[sort] for c in (context[0], word, *context[1:])]
+            del word, context, number_of, at
             place = (owner * 2 + (1 - own[owner]))[sort].astype("<u2" if len(ids) < 1 << 15 else "<u4")
             edge = np.searchsorted(columns[0], cuts(words, parts))
             for dest in range(parts):
@@ -202,7 +216,8 @@ def _sent(keys: list[int], order: int):
             for a, b in slices(offsets, STEP_BYTES):
                 hashes, bounds = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 size = np.diff(bounds) + 1
-                tokens.append(np.insert(hashes, bounds[1:], END))
+                words, each = np.unique(np.insert(hashes, bounds[1:], END), return_inverse=True)
+                tokens.append((words, each.astype(np.uint32)))
                 places.append((np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32))
                 owners.append(np.repeat(np.arange(len(ids), len(ids) + b - a, dtype=np.uint32), size))
                 counts.append(size)
@@ -240,61 +255,138 @@ def numbered(first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarr
     return keys, kind.astype(np.uint32)
 
 
+def evenly(rows: np.ndarray) -> np.ndarray:
+    """Edges that cut numbered rows into blocks; a number with more than a block of rows lies between two of them."""
+    blocks, large = rows.sum() // BLOCK_ROWS + 1, np.flatnonzero(rows > BLOCK_ROWS)
+    inner = np.searchsorted(np.cumsum(rows), rows.sum() * np.arange(1, blocks) // blocks)
+    return np.unique(np.concatenate([[0], inner, large, large + 1, [len(rows)]]))
+
+
 class Partition:
-    """The n-grams that all tasks sent to one partition of contexts, to be added up in blocks of whole contexts."""
+    """The n-grams that all tasks sent to one partition of contexts, to be added up in blocks."""
 
     def __init__(self, table: pa.Table):
-        self.tasks = blobs_of(table, NGRAMS)
+        self.tasks = blobs_of(table, NGRAMS, Packed)
         if not self.tasks:
             return
-        lists = [np.cumsum(a[1], dtype=np.uint64) for _, a in self.tasks]
-        self.dictionary, number = np.unique(np.concatenate(lists), return_inverse=True)
-        size, ends = len(self.dictionary), np.cumsum([len(x) for x in lists])
-        self.number, self.begin, self.trained = np.split(number.astype(np.uint32), ends[:-1]), [], []
-        held, asked, rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
-        for near, (_, a) in zip(self.number, self.tasks, strict=True):
-            self.begin.append(np.concatenate([[0], np.cumsum(a[2], dtype=np.int64)]))
-            self.trained.append(np.add.reduceat((a[3] & 1).astype(np.int32), self.begin[-1][:-1]))
-            word = near[a[5]]
+        lists = [np.cumsum(t.part(WORDS), dtype=np.uint64) for _, t in self.tasks]
+        self.dictionary = np.unique(np.concatenate(lists))
+        self.number = [np.searchsorted(self.dictionary, x).astype(np.uint32) for x in lists]
+        size = len(self.dictionary)
+        held, asked, self.rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
+        for near, (_, t) in zip(self.number, self.tasks, strict=True):
+            word = near[t.part(WORD)]
             asked[word] = True
-            held += np.bincount(word, weights=self.trained[-1], minlength=size)
-            rows += np.bincount(near[a[4]], minlength=size)
+            held += np.bincount(word, weights=trained(t.part(TIMES), t.part(PLACES)), minlength=size)
+            self.rows += np.bincount(near[t.part(CONTEXT)], minlength=size)
         self.asked = np.flatnonzero(asked)
         self.words, self.held = self.dictionary[self.asked], held.astype("<i8")[self.asked]
-        blocks = rows.sum() // BLOCK_ROWS + 1
-        inner = np.searchsorted(np.cumsum(rows), rows.sum() * np.arange(1, blocks) // blocks)
-        edges = np.unique(np.concatenate([[0], inner, [size]]))
-        self.cuts = np.array([np.searchsorted(near[a[4]], edges) for near, (_, a) in zip(self.number, self.tasks, strict=True)])
 
     def blocks(self) -> Iterator[Block]:
-        for k in range(self.cuts.shape[1] - 1):
-            yield Block(self, self.cuts[:, k].tolist(), self.cuts[:, k + 1].tolist())
+        """Blocks of whole contexts; one with more rows than a block is cut by the word before it, and the pairs behind it are added up first."""
+        edges, spans = evenly(self.rows), [Spans(self, number) for number in range(len(self.tasks))]
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            each = [s.until(last) for s in spans]
+            if last - first > 1 or self.rows[first] <= BLOCK_ROWS:
+                yield Block(self, each)
+                continue
+            pairs, cuts = self.behind(first, each)
+            for k in range(cuts.shape[1] - 1):
+                yield Block(self, [s.cut(*c[k : k + 2].tolist()) for s, c in zip(each, cuts, strict=True)], pairs, k > 0)
+
+    def behind(self, context: int, each: list[Span]) -> tuple[tuple, np.ndarray]:
+        """Of one context: its pairs with their counts over all tasks, and where its rows are cut."""
+        size = len(self.dictionary)
+        second = FURTHER if len(self.tasks[0][1].arrays) > FURTHER else WORD
+        count, found, rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
+        for s in each:
+            word = s.column(WORD)
+            found[word] = True
+            count += np.bincount(word, weights=s.trained(), minlength=size)
+            rows += np.bincount(s.column(second), minlength=size)
+        edges, word = evenly(rows), np.flatnonzero(found)
+        cuts = np.array([s.first + np.searchsorted(s.column(second), edges) for s in each])
+        return (context * size + word, count[word].astype(np.int64)), cuts
+
+
+class Span:
+    """Rows of one task's blob; ``start`` is where their places begin."""
+
+    def __init__(self, near: np.ndarray, packed: Packed, first: int, last: int, start: int):
+        self.near, self.packed, self.first, self.last, self.start = near, packed, first, last, start
+
+    def column(self, number: int) -> np.ndarray:
+        return self.near[self.packed.part(number, self.first, self.last)]
+
+    def times(self) -> np.ndarray:
+        return self.packed.part(TIMES, self.first, self.last)
+
+    def places(self) -> np.ndarray:
+        return self.packed.part(PLACES, self.start, self.start + int(self.times().sum(dtype=np.int64)))
+
+    def trained(self) -> np.ndarray:
+        return trained(self.times(), self.places())
+
+    def cut(self, first: int, last: int) -> Span:
+        before = self.packed.part(TIMES, self.first, first).sum(dtype=np.int64)
+        return Span(self.near, self.packed, first, last, self.start + int(before))
+
+
+class Spans:
+    """The rows of one task's blob, context by context."""
+
+    def __init__(self, whole: Partition, number: int):
+        self.near, (_, self.packed) = whole.number[number], whole.tasks[number]
+        self.contexts = self.packed.part(CONTEXT)
+        self.at = self.start = 0
+
+    def until(self, context: int) -> Span:
+        """The next rows, of contexts below this one."""
+        last = int(np.searchsorted(self.contexts, np.searchsorted(self.near, context)))
+        own = Span(self.near, self.packed, self.at, last, self.start)
+        self.at, self.start = last, self.start + int(own.times().sum(dtype=np.int64))
+        return own
+
+
+def trained(times: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in training texts."""
+    if not len(times):
+        return np.zeros(0, np.int32)
+    return np.add.reduceat((places & 1).astype(np.int32), np.cumsum(times, dtype=np.int64) - times)
 
 
 class Block:
-    """The n-grams of some contexts, added up over all tasks, with those of every lower order."""
+    """The n-grams of some contexts, added up over all tasks, with those of every lower order.
+
+    ``pairs`` are those of a context that is cut into several blocks, with their counts in all of them; ``repeated``: an earlier block gave them.
+    """
 
-    def __init__(self, whole: Partition, first: list[int], last: list[int]):
-        self.size, self.spans = len(whole.dictionary), list(zip(first, last, strict=True))
-        each = list(zip(whole.number, whole.tasks, self.spans, strict=True))
-        near, word, *longer = (np.concatenate([n[a[4 + k][x:y]] for n, (_, a), (x, y) in each]) for k in range(len(whole.tasks[0][1]) - 4))
-        rows = np.concatenate([t[x:y] for t, (x, y) in zip(whole.trained, self.spans, strict=True)])
+    def __init__(self, whole: Partition, spans: list[Span], pairs: tuple | None = None, repeated: bool = False):
+        self.size, self.spans, self.repeated = len(whole.dictionary), spans, repeated
+        near, word, *longer = (np.concatenate([s.column(k) for s in spans]) for k in range(CONTEXT, len(whole.tasks[0][1].arrays)))
+        rows = np.concatenate([s.trained() for s in spans])
         # Contexts and n-grams of each order are numbered in the order of their words; all of one context lie together.
         self.orders, self.longer, context, shorter = [], [], near, word
         for k in range(len(longer) + 1):
             if k:
                 heads, context = numbered(context, longer[k - 1], self.size)
                 self.longer.append((heads // self.size, heads % self.size))
-            keys, kind = numbered(context, word, self.size)
-            lower = np.empty(len(keys), np.uint32)
-            lower[kind] = shorter
-            count = np.bincount(kind, weights=rows, minlength=len(keys)).astype(np.int64)
+            if k or not pairs:
+                keys, kind = numbered(context, word, self.size)
+                lower = np.empty(len(keys), np.uint32)
+                lower[kind] = shorter
+                count = np.bincount(kind, weights=rows, minlength=len(keys)).astype(np.int64)
+            else:
+                keys, count = pairs
+                kind = np.searchsorted(keys, context.astype(np.int64) * self.size + word).astype(np.uint32)
+                lower = (keys % self.size).astype(np.uint32)
             self.orders.append((keys // self.size, keys % self.size, count, lower))
             shorter = kind
         self.kind = shorter  # number of the longest n-gram behind each task's own
 
     def counts_of_counts(self) -> np.ndarray:
-        return np.concatenate([kinds_by_count(count) for _, _, count, _ in self.orders])
+        each = [kinds_by_count(count) for _, _, count, _ in self.orders]
+        return np.concatenate([each[0] * (not self.repeated), *each[1:]])
 
     def probabilities(self, told: Told) -> Iterator[tuple]:
         """Of every order from 2: (context, word, count, probability behind the context, back-off weight of the context)."""
@@ -360,16 +452,17 @@ def _scoring(table: pa.Table, answers: pa.Table) -> pa.Table:
     if not own.tasks:
         return rows_of(out)
     told = Told(own, answers)
-    sums = [np.zeros((3, int(a[0][0]))) for _, a in own.tasks]
+    sums = [np.zeros((3, int(t.part(SIZE)[0]))) for _, t in own.tasks]
     each = np.log10(told.count + 0.5), told.count > 0
     for block in own.blocks():
         *_, (_, word, _, probability, _) = block.probabilities(told)
         with np.errstate(divide="ignore"):
             values = [np.log10(probability), *(x[word] for x in each)]
         at = 0
-        for (_, a), begin, (x, y), total in zip(own.tasks, own.begin, block.spans, sums, strict=True):
-            kind, doc = np.repeat(block.kind[at : at + y - x], a[2][x:y]), (a[3][begin[x] : begin[y]] >> 1).astype(np.int64)
-            at += y - x
+        for span, total in zip(block.spans, sums, strict=True):
+            rows = span.last - span.first
+            kind, doc = np.repeat(block.kind[at : at + rows], span.times()), (span.places() >> 1).astype(np.int64)
+            at += rows
             for row, value in zip(total, values, strict=True):
                 row += np.bincount(doc, weights=value[kind], minlength=len(row))
     for (src, _), (score, base, known) in zip(own.tasks, sums, strict=True):
@@ -393,15 +486,17 @@ def _modelled(table: pa.Table, answers: pa.Table) -> pa.Table:
         first, _, pairs, _ = block.orders[0]
         times = np.bincount(first, weights=pairs, minlength=block.size).astype(np.int64)
         chance, unknown = unigram(times, told.kinds, told.total)
-        out.append((1, np.zeros(block.size, np.uint64), own.dictionary, times, chance, np.ones(block.size)))
-        if END in own.dictionary[first]:
+        if not block.repeated:
+            out.append((1, np.zeros(block.size, np.uint64), own.dictionary, times, chance, np.ones(block.size)))
+        if END in own.dictionary[first] and not block.repeated:
             out.append((0, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64), np.array([unknown]), np.ones(1)))
         context_hash = own.dictionary
         for n, (context, word, count, probability, weight) in enumerate(block.probabilities(told), 2):
             if n > 2:
                 shorter, before = block.longer[n - 3]
                 context_hash = behind(context_hash[shorter], own.dictionary[before])
-            out.append((n, context_hash[context], own.dictionary[word], count, probability, weight))
+            if n > 2 or not block.repeated:
+                out.append((n, context_hash[context], own.dictionary[word], count, probability, weight))
     return model_rows(out)
 
 
