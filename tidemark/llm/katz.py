@@ -21,7 +21,7 @@ training tokens every probability is 1. Further columns are ignored. The counts
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ K = 5
 ORDER = 3
 FLUSH = 2_000_000
 #: N-grams that a partition adds up at a time, unless the last two words of a context have more.
-BLOCK_ROWS = 400_000
+BLOCK_ROWS = 200_000
 END = np.uint64(0x5851F42D4C957F2D)
 NGRAMS, DOCS, ASKED, TOTALS, SUMS = range(5)
 #: Arrays of a blob of n-grams; the further words of the contexts follow.
@@ -76,6 +76,9 @@ class Packed:
         planes, kind = self.arrays[number]
         return np.ascontiguousarray(planes[:, first:last].T).reshape(-1).view(kind)
 
+    def size(self, number: int) -> int:
+        return self.arrays[number][0].shape[1]
+
 
 def unpack(blob: bytes | pa.Buffer) -> list[np.ndarray]:
     packed = Packed(blob)
@@ -111,6 +114,13 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def distinct(keys: Sequence[np.ndarray]) -> np.ndarray:
+    """All keys once, sorted."""
+    whole = np.concatenate(keys)
+    whole.sort()
+    return whole[firsts(whole)]
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Factor for counts 0 .. K + 1 (the last stands for all larger ones) from n[r], the number of types seen r times."""
     out = np.ones(K + 2)
@@ -180,11 +190,11 @@ def _sent(keys: list[int], order: int):
             own = np.array(held, "u1")
             table = [np.array([i or 0 for i in ids], "<i8"), missing, own, np.concatenate(counts).astype("<i8")]
             out = [(keys[src % parts], src, DOCS, pack(*table))]
-            owner = np.concatenate(owners)
-            words = np.unique(np.concatenate([*(x for x, _ in tokens), [END]]))
+            words = distinct([*(x for x, _ in tokens), np.array([END])])
             number_of = np.concatenate([np.searchsorted(words, x).astype(np.uint32)[each] for x, each in tokens])
-            tokens.clear()
-            at, end = np.concatenate(places), np.searchsorted(words, END).astype(np.uint32)
+            owner, at, end = np.concatenate(owners), np.concatenate(places), np.searchsorted(words, END).astype(np.uint32)
+            for part in (tokens, places, owners):
+                part.clear()
             word, *context = (shifted(number_of, at, back, end) for back in range(order))
             # Columns: last word of the context, the word, then the context from its last word but one backwards; the word is sorted by last.
             sort = sorted_by([*context, word], len(words))
@@ -206,7 +216,7 @@ def _sent(keys: list[int], order: int):
                     times = times.astype("u1" if times.max() < 256 else "<u4")
                     blob = pack(np.array([len(ids)], "<i8"), np.diff(words[used], prepend=np.uint64(0)), times, place[a:b], *(near[c] for c in kinds))
                     out.append((keys[dest], src, NGRAMS, blob))
-            for part in (ids, held, tokens, places, owners, counts):
+            for part in (ids, held, counts):
                 part.clear()
             return rows_of(out).to_batches(BLOB_ROWS)
 
@@ -255,6 +265,10 @@ def numbered(first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarr
     return keys, kind.astype(np.uint32)
 
 
+def words_of(ngrams: Packed) -> np.ndarray:
+    return np.cumsum(ngrams.part(WORDS), dtype=np.uint64)
+
+
 def evenly(rows: np.ndarray) -> np.ndarray:
     """Edges that cut numbered rows into blocks; a number with more than a block of rows lies between two of them."""
     blocks, large = rows.sum() // BLOCK_ROWS + 1, np.flatnonzero(rows > BLOCK_ROWS)
@@ -269,9 +283,10 @@ class Partition:
         self.tasks = blobs_of(table, NGRAMS, Packed)
         if not self.tasks:
             return
-        lists = [np.cumsum(t.part(WORDS), dtype=np.uint64) for _, t in self.tasks]
-        self.dictionary = np.unique(np.concatenate(lists))
-        self.number = [np.searchsorted(self.dictionary, x).astype(np.uint32) for x in lists]
+        self.dictionary = np.zeros(0, np.uint64)
+        for at in range(0, len(self.tasks), BLOB_ROWS):
+            self.dictionary = distinct([self.dictionary, *(words_of(t) for _, t in self.tasks[at : at + BLOB_ROWS])])
+        self.number = [np.searchsorted(self.dictionary, words_of(t)).astype(np.uint32) for _, t in self.tasks]
         size = len(self.dictionary)
         held, asked, self.rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
         for near, (_, t) in zip(self.number, self.tasks, strict=True):
@@ -284,18 +299,18 @@ class Partition:
 
     def blocks(self) -> Iterator[Block]:
         """Blocks of whole contexts; one with more rows than a block is cut by the word before it, and the pairs behind it are added up first."""
-        edges, spans = evenly(self.rows), [Spans(self, number) for number in range(len(self.tasks))]
-        for first, last in zip(edges[:-1], edges[1:], strict=True):
-            each = [s.until(last) for s in spans]
+        edges = evenly(self.rows)
+        spans = [Span(near, t, 0, t.size(CONTEXT), 0).split(CONTEXT, edges) for near, (_, t) in zip(self.number, self.tasks, strict=True)]
+        for first, last, *each in zip(edges[:-1], edges[1:], *spans, strict=True):
             if last - first > 1 or self.rows[first] <= BLOCK_ROWS:
                 yield Block(self, each)
                 continue
-            pairs, cuts = self.behind(first, each)
-            for k in range(cuts.shape[1] - 1):
-                yield Block(self, [s.cut(*c[k : k + 2].tolist()) for s, c in zip(each, cuts, strict=True)], pairs, k > 0)
+            pairs, parts = self.behind(first, each)
+            for k, part in enumerate(zip(*parts, strict=True)):
+                yield Block(self, part, pairs, k > 0)
 
-    def behind(self, context: int, each: list[Span]) -> tuple[tuple, np.ndarray]:
-        """Of one context: its pairs with their counts over all tasks, and where its rows are cut."""
+    def behind(self, context: int, each: list[Span]) -> tuple[tuple, list[list[Span]]]:
+        """Of one context: its pairs with their counts over all tasks, and each task's rows cut into blocks."""
         size = len(self.dictionary)
         second = FURTHER if len(self.tasks[0][1].arrays) > FURTHER else WORD
         count, found, rows = np.zeros(size), np.zeros(size, bool), np.zeros(size, np.int64)
@@ -305,8 +320,7 @@ class Partition:
             count += np.bincount(word, weights=s.trained(), minlength=size)
             rows += np.bincount(s.column(second), minlength=size)
         edges, word = evenly(rows), np.flatnonzero(found)
-        cuts = np.array([s.first + np.searchsorted(s.column(second), edges) for s in each])
-        return (context * size + word, count[word].astype(np.int64)), cuts
+        return (context * size + word, count[word].astype(np.int64)), [s.split(second, edges) for s in each]
 
 
 class Span:
@@ -327,25 +341,12 @@ class Span:
     def trained(self) -> np.ndarray:
         return trained(self.times(), self.places())
 
-    def cut(self, first: int, last: int) -> Span:
-        before = self.packed.part(TIMES, self.first, first).sum(dtype=np.int64)
-        return Span(self.near, self.packed, first, last, self.start + int(before))
-
-
-class Spans:
-    """The rows of one task's blob, context by context."""
-
-    def __init__(self, whole: Partition, number: int):
-        self.near, (_, self.packed) = whole.number[number], whole.tasks[number]
-        self.contexts = self.packed.part(CONTEXT)
-        self.at = self.start = 0
-
-    def until(self, context: int) -> Span:
-        """The next rows, of contexts below this one."""
-        last = int(np.searchsorted(self.contexts, np.searchsorted(self.near, context)))
-        own = Span(self.near, self.packed, self.at, last, self.start)
-        self.at, self.start = last, self.start + int(own.times().sum(dtype=np.int64))
-        return own
+    def split(self, number: int, edges: np.ndarray) -> list[Span]:
+        """The rows between each two edges of the words of a column, by which the rows are sorted."""
+        cut = np.searchsorted(self.packed.part(number, self.first, self.last), np.searchsorted(self.near, edges))
+        start = np.concatenate([[0], np.cumsum(self.times(), dtype=np.int64)])[cut]
+        rows = zip((self.first + cut[:-1]).tolist(), (self.first + cut[1:]).tolist(), (self.start + start[:-1]).tolist(), strict=True)
+        return [Span(self.near, self.packed, *row) for row in rows]
 
 
 def trained(times: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -361,7 +362,7 @@ class Block:
     ``pairs`` are those of a context that is cut into several blocks, with their counts in all of them; ``repeated``: an earlier block gave them.
     """
 
-    def __init__(self, whole: Partition, spans: list[Span], pairs: tuple | None = None, repeated: bool = False):
+    def __init__(self, whole: Partition, spans: Sequence[Span], pairs: tuple | None = None, repeated: bool = False):
         self.size, self.spans, self.repeated = len(whole.dictionary), spans, repeated
         near, word, *longer = (np.concatenate([s.column(k) for s in spans]) for k in range(CONTEXT, len(whole.tasks[0][1].arrays)))
         rows = np.concatenate([s.trained() for s in spans])
