@@ -21,3 +21,13 @@ class PartCache:
         self.known.update(zip(new, self.encode(new), strict=True))
         ids = self.known.__getitem__
         return [b"".join(map(ids, parts)) for parts in texts]
+
+    def each(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each of these distinct parts; those not seen before are encoded in one batch."""
+        if len(self.known) > self.most:
+            self.known = {}
+        found = list(map(self.known.get, parts))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self.encode([parts[k] for k in new]), strict=True):
+            found[k] = self.known[parts[k]] = ids
+        return found

@@ -14,6 +14,7 @@ own. An empty table gives no rows. Further columns do not matter.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,15 +22,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tidemark.llm.cached import PartCache
-from tidemark.llm.frames import STEP_BYTES, documents, utf8, written
+from tidemark.llm.frames import documents, text_or_empty, written
 from tidemark.llm.text import binary_parts, slices
 
 LENGTH = 4096
@@ -37,6 +40,14 @@ GRAIN = 16
 GAP = 0.0005
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of text that a step takes at a time; its arrays hold several 8-byte numbers for each token.
+TEXT_BYTES = 4 << 20
+#: Words that are one text to the library.
+WORDS = 10_000
+#: A number of one character that words hardly ever have.
+BETWEEN = "\u00bd"
+#: A lower-case word of Latin letters, and the full stop or comma behind it.
+LETTERS = re.compile(f"([{''.join(c for c in map(chr, range(0x250)) if c.isalpha())}]+)([.,]?)").fullmatch
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long, ids binary"
 )
@@ -55,30 +66,59 @@ def byte_letters() -> dict[int, int]:
 
 class WordEncoder:
     """Ids of words. The vocabulary's steps split a word of Latin letters from a full stop or comma behind it and change
-    nothing but its case, so such words go to the library's model alone; all other words take all of its steps."""
+    nothing but its case, so such words go to the library's model alone; all other words take all of its steps. Either way
+    many words are one text to the library: a word's last token is marked as such in the vocabulary, which tells
+    the words of letters apart, and between the others stands ``BETWEEN``, one token that no word without that character has."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks = {m: self._all_steps([m])[0] for m in (b".", b",")}
-
-    def _all_steps(self, parts: list[bytes]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-
-    def _letters_only(self, part: bytes) -> bytes | None:
-        mark = self.marks.get(part[-1:], b"")
-        word = (part[:-1] if mark else part).decode().lower()
-        if not word.isalpha() or max(word) > "\u024f":
-            return None
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return pack_ids([t.id for t in found]) + mark
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        letters = byte_letters()
+        self.letters = np.array([32 if b == 32 else letters[b] for b in range(256)], "<u2")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab(False).items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.marks = {m: pack_ids(self._ids(self.tokenizer, m).tolist()) for m in (".", ",")} | {"": b""}
+        (self.between,) = self._ids(self.tokenizer, BETWEEN).tolist()
+
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _letters_only(self, words: list[str]) -> Iterator[bytes]:
+        text = self.letters[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = self._ids(self.model, text)
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        held = ids.tobytes()
+        return (held[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+    def _all_steps(self, words: list[str]) -> Iterator[bytes]:
+        ids = self._ids(self.tokenizer, "".join(f"{w} {BETWEEN} " for w in words))
+        ends = (4 * np.flatnonzero(ids == self.between)).tolist()
+        held = ids.tobytes()
+        return (held[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True))
+
+    def _some(self, parts: list[bytes]) -> list[bytes]:
+        done: list[bytes] = [b""] * len(parts)
+        letters, marks, others = [], [], []
+        for k, word in enumerate(b"\n".join(parts).decode().split("\n")):
+            if found := LETTERS(word.lower()):
+                letters.append((k, found[1]))
+                marks.append(self.marks[found[2]])
+            elif BETWEEN in word:
+                done[k] = pack_ids(self._ids(self.tokenizer, word).tolist())
+            else:
+                others.append((k, word))
+        if letters:
+            for (k, _), ids, mark in zip(letters, self._letters_only([w for _, w in letters]), marks, strict=True):
+                done[k] = ids + mark
+        if others:
+            for (k, _), ids in zip(others, self._all_steps([w for _, w in others]), strict=True):
+                done[k] = ids
+        return done
 
     def __call__(self, parts: list[bytes]) -> list[bytes]:
-        done = [self._letters_only(p) for p in parts]
-        others = [k for k, ids in enumerate(done) if ids is None]
-        for k, ids in zip(others, self._all_steps([parts[k] for k in others]), strict=True):
-            done[k] = ids
-        return done
+        return [ids for at in range(0, len(parts), WORDS) for ids in self._some(parts[at : at + WORDS])]
 
 
 @lru_cache(None)
@@ -86,10 +126,23 @@ def _cache(path: str) -> PartCache:
     return PartCache(WordEncoder(path))
 
 
-def encode_texts(texts: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Ids of whole texts. This vocabulary drops white space, so no token spans two words."""
-    end = np.array([end_id], "<u4").tobytes()
-    return [ids + end for ids in _cache(path).joined([t.split() for t in texts])]
+def encode_texts(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, one after the other, and the bounds between the texts.
+
+    This vocabulary drops white space, so no token spans two words; the ids of a word are looked up once for all its occurrences here.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    coded, after = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:].astype(np.int64)
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    known = [*_cache(path).each(words), pack_ids([end_id])]
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    used = np.insert(coded.indices.to_numpy(), after, len(words))  # each text's words, then the end
+    counts = sizes[used]
+    ends = np.cumsum(counts)
+    places = np.repeat((np.cumsum(sizes) - sizes)[used] - (ends - counts), counts)
+    places += np.arange(len(places))
+    ids = np.frombuffer(b"".join(known), "<u4")[places]
+    return ids, np.concatenate(([0], ends[after + np.arange(len(after))]))
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:
@@ -100,22 +153,19 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, grain: int = GRAIN,
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (length // grain + 2)
         for batch in batches:
-            data, offsets = binary_parts(batch.column("bytes"))
-            keys, view = batch.column("doc_id").to_pylist(), memoryview(data)
-            for a, b in slices(offsets, STEP_BYTES):
-                texts = [bytes(view[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
-                rows = []
-                for key, ids in zip(keys[a:b], encode_texts(texts, path), strict=True):
-                    count = len(ids) // 4
-                    for start in range(0, count, length):
-                        own = ids[4 * start : 4 * (start + length)]
-                        size = len(own) // 4
-                        bin_ = -(-size // grain)
-                        rows.append((key, start, size, zlib.crc32(own), count, part, seen[bin_], own if with_ids else None))
+            texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
+            for a, b in slices(binary_parts(texts)[1], TEXT_BYTES):
+                ids, bounds = encode_texts(texts.slice(a, b - a), path)
+                held, bounds, rows = memoryview(ids.view(np.uint8)), bounds.tolist(), []
+                for key, first, last in zip(keys[a:b], bounds[:-1], bounds[1:], strict=True):
+                    for at in range(first, last, length):
+                        size = min(length, last - at)
+                        own, bin_ = held[4 * at : 4 * (at + size)], -(-size // grain)
+                        rows.append((key, at - first, size, zlib.crc32(own), last - first, part, seen[bin_], bytes(own) if with_ids else None))
                         seen[bin_] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", utf8().alias("bytes")).mapInArrow(step, PIECES)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(step, PIECES)
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
