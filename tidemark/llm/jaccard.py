@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, merged
 from tidemark.llm.frames import BLOB_ROWS, SET_ROWS, STEP_BYTES, addressed, documents, portions, shuffle_partitions, utf8, without_rows, written
 from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
@@ -350,7 +350,7 @@ def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _second_round(table: pa.Table) -> pa.Table:
-    """Pairs of one tile and different components that the R-tree lets through."""
+    """Pairs of one tile and different components that the R-tree lets through, with their components."""
     doc, root, size = (table[n].to_numpy() for n in ("doc", "root", "size"))
     groups_here = np.array([groups_of(int(n)) for n in size], np.int64)
     counts = [np.frombuffer(c, np.uint8 if len(c) == g else np.uint32) for c, g in zip(table["counts"].to_pylist(), groups_here, strict=True)]
@@ -360,6 +360,7 @@ def _second_round(table: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(doc)), [len(t) for t in tokens])
     order = np.lexsort((doc[row], token))
     found: set[tuple[int, int]] = set()
+    root_of = dict(zip(doc.tolist(), root.tolist(), strict=True))
     looked_at: set[bytes] = set()
     for members in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
         rows = row[members]
@@ -370,7 +371,8 @@ def _second_round(table: pa.Table) -> pa.Table:
         for a, b in tile_pairs(doc[rows], root[rows], size[rows], rank[members], [counts[r] for r in rows]):
             found.add((a, b))
     a, b = zip(*sorted(found), strict=True) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    ends = {"a": a, "b": b, "root_a": [root_of[d] for d in a], "root_b": [root_of[d] for d in b]}
+    return pa.table({n: pa.array(x, pa.int64()) for n, x in ends.items()})
 
 
 def tile_pairs(doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -395,7 +397,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches):
         left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
         kept = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(left, right, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        yield batch.select(["root_a", "root_b"]).filter(pa.array(kept, pa.bool_())).rename_columns(["a", "b"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -497,15 +499,15 @@ def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     second = placed.join(crossing, "doc").mapInArrow(
         _with_ranks, "dest int, doc long, root long, size long, counts binary, tokens binary, ranks binary"
     )
-    pairs = second.groupBy("dest").applyInArrow(_second_round, "a long, b long").distinct()
+    pairs = second.groupBy("dest").applyInArrow(_second_round, "a long, b long, root_a long, root_b long").distinct()
     sets = found.select("doc", "tokens")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")), "b"
     )
-    last = both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    # What these links connect are components already, so only their roots need to be looked at.
+    last = both.select("root_a", "root_b", "left", "right").mapInArrow(_verified, "a long, b long")
     sizes = _unpacked_rows(META, METAS, met, "doc long, size long, set long")
-    return sizes, components(known.unionByName(last)), found
+    return sizes, merged(roots, last), found
 
 
 def met_blocks(sizes: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
