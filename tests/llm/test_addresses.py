@@ -68,3 +68,10 @@ def test_folders_are_noted_and_removed(spark):
     frames.written(spark.range(3).select(F.col("id")), "other")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folders[0])
+
+
+def test_addresses_take_no_python_rows(made):
+    """The numbers of the files are a table of Spark's own; one from a Python list starts Python workers, which stay in memory."""
+    keyed, key = frames.addressed(made([(1, A), (2, B), (3, C)]))
+    assert keyed.select(key).distinct().count() == 3
+    assert keyed._jdf.queryExecution().toString().count("ExistingRDD") == 0
