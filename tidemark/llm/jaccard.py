@@ -5,13 +5,18 @@ tokens of a set, hashed into groups, give a vector of group counts. Two sets sha
 each group, and a tree node at most the sum over the node's largest counts; the R-tree follows only nodes for which that bound and the sizes
 allow a link, and the pairs that survive are verified on the whole sets.
 
-The index is dealt out over the cluster by *tiles*. If tokens are ordered by hash, linked sets of sizes a <= b share
+The index is dealt out over the cluster by *tiles*. If tokens are in one order, linked sets of sizes a <= b share
 at least l(a) tokens among their first n - ceil(3n/4) + l(n), for any rising l; here l(n) = max(1, n // 8). So only sets with that many tokens
-found in another set's prefix can have a link, and linked sets meet in the tile of every prefix token they share.
+found in another set's prefix can have a link, and linked sets meet in the tile of every prefix token they share. This holds in any order. Here tokens of
+many sets come last, so that a passage that many texts have in common is in the prefix of those alone that hardly have anything else; the rest is
+by hash. Which tokens these are is counted (``common_tokens``) and decides on the work, not on the links.
 
-1. Each task sends the prefix tokens of its distinct sets; copies of a set within the task are linked at once.
+1. Each task measures its sets and counts their tokens. Copies of a set are linked at once, and one document stands for them from here on; it sends its prefix
+   tokens.
 2. Tokens that two documents share go back to their documents, which come out as candidates with their sets.
 3. First round: candidates meet in the tiles of their ``FIRST`` smallest shared tokens; members that are connected are not compared again.
+   Then the members of large tiles of different components look for their nearest one of another component, and the components that this ties
+   together count as one, so a large cluster comes to the next step in few parts.
 4. Second round, which makes the result whole: tokens that different components share go back to their documents, which send their
    count vectors to these tiles; each pair from different components that the R-tree lets through is verified. The first token that linked
    sets share has at most a seventh of both sizes before it (all of that is in one set only), so a pair is looked at only in
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components, merged
-from tidemark.llm.frames import BLOB_ROWS, SET_ROWS, STEP_BYTES, addressed, documents, portions, shuffle_partitions, utf8, without_rows, written
+from tidemark.llm.frames import BLOB_ROWS, MOST_KEYS, SET_ROWS, STEP_BYTES, addressed, documents, portions, shuffle_partitions, utf8, without_rows, written
 from tidemark.llm.repeats import NO_ID, dealt, part_column, part_of, unpacked
 from tidemark.llm.text import binary_parts, shingle_sets, slices
 
@@ -43,15 +48,24 @@ WORDS = 5
 FIRST = 3
 LEAF = 64
 FLUSH = 500_000
-BLOCK_SETS = 128
+#: Members from which on a tile is looked at for nearest ones before the second round.
+LARGE_TILE = 32
+#: Sets of a block in components of up to so many blocks, and of larger ones.
+BLOCK_SETS, FEW_BLOCKS, MOST_BLOCK_SETS = 128, 16, 1024
 BLOCK_TOKENS = 1 << 20
 MATCHES = 1 << 21
-TOKEN, META, LINK, SHARED = 0, 1, 2, 3
+#: Tokens that a task counts at a time and of how many it keeps the counts; a token is common from so many sets on, and at most so many are.
+COUNTED, COUNTS = 1 << 21, 1 << 17
+LEAST_COMMON, MOST_COMMON = 64, 1 << 17
+#: Bits on top of a token that say how common it is.
+CLASS_BITS = 2
+TOKEN, META, COUNT, SHARED = 0, 1, 2, 3
 TOKENS = [("token", "<u8"), ("doc", "<i8")]
 METAS = [("doc", "<i8"), ("size", "<i8"), ("set", "<i8")]
-LINKS = [("a", "<i8"), ("b", "<i8")]
+TALLY = [("token", "<i8"), ("n", "<i8")]
 ROOTED = [("token", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("excess", "<i4")]
 BLOBS = "dest int, kind int, blob binary"
+Common = tuple[np.ndarray, np.ndarray]
 CANDIDATE = "doc long, size long, set long, shared binary, ranks binary, counts binary, tokens binary"
 
 
@@ -69,8 +83,8 @@ def groups_of(size: int) -> int:
 
 
 def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
-    """Counts by the top bits, so that adding neighbours up gives the counts for fewer groups."""
-    return np.bincount((tokens >> np.uint64(52)).astype(np.int64) * groups >> 12, minlength=groups)
+    """Counts by the top bits of the hash, so that adding neighbours up gives the counts for fewer groups."""
+    return np.bincount((tokens << np.uint64(CLASS_BITS) >> np.uint64(52)).astype(np.int64) * groups >> 12, minlength=groups)
 
 
 def small(counts: np.ndarray) -> np.ndarray:
@@ -150,45 +164,103 @@ def _of_kind(table: pa.Table, number: int, kind: list) -> dict:
     return unpacked([b.as_buffer() for k, b in zip(table["kind"].to_pylist(), table["blob"], strict=True) if k == number], kind)
 
 
-def _sent(buckets: int):
-    """Prefix tokens of distinct sets to the token's bucket; sizes, and links between copies, beside them."""
+def tallied(token: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token with the sum of its counts; of more than ``most`` those with the largest."""
+    if not len(token):
+        return token, n
+    order = np.argsort(token)
+    token, n = token[order], n[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    token, n = token[first], np.add.reduceat(n, first)
+    if len(token) > most:
+        kept = np.argpartition(n, len(n) - most)[-most:]
+        token, n = token[kept], n[kept]
+    return token, n
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and name of every set, and the tokens that several of the task's distinct sets have, with their number."""
+    metas, held, count, seen = [], [], 0, set()
+    token, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def tally() -> None:
+        nonlocal token, n, count
+        every = np.concatenate([token, *held])
+        token, n = tallied(every, np.append(n, np.ones(len(every) - len(n), np.int64)), COUNTS)
+        held.clear()
+        count = 0
+
+    def blob(kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        packed = b"".join(np.ascontiguousarray(c).astype("<i8").tobytes() for c in columns)
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([packed], pa.binary())], ["kind", "blob"])
+
+    for batch in batches:
+        data, offsets = binary_parts(batch.column("bytes"))
+        docs = batch.column("doc").to_pylist()
+        for a, b in slices(offsets, STEP_BYTES):
+            for doc, own in zip(docs[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), strict=True):
+                name = set_id(own)
+                metas.append((doc, len(own), name))
+                if name not in seen:
+                    seen.add(name)
+                    held.append(own)
+                    count += len(own)
+            if count >= COUNTED:
+                tally()
+        if len(metas) >= FLUSH:
+            yield blob(META, list(np.array(metas, np.int64).T))
+            metas.clear()
+    if metas:
+        yield blob(META, list(np.array(metas, np.int64).T))
+    tally()
+    yield blob(COUNT, [token[n > 1].view(np.int64), n[n > 1]])
+
+
+def common_tokens(measured: DataFrame) -> Common:
+    """The tokens that many sets have, sorted, and how common each is."""
+    counts = _unpacked_rows(COUNT, TALLY, measured, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    token = found["token"].to_numpy().view(np.uint64)
+    level = np.searchsorted([LEAST_COMMON, 8 * LEAST_COMMON, 64 * LEAST_COMMON], found["n"].to_numpy(), "right").astype(np.uint64)
+    order = np.argsort(token)
+    return token[order], level[order]
+
+
+def ranked(own: np.ndarray, common: Common) -> np.ndarray:
+    """A set's tokens in the order of all: the most common last, else by hash. The top bits of each give way to how common it is."""
+    level = np.zeros(len(own), np.uint64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        level = np.where(common[0][at] == own, common[1][at], level)
+    low = np.uint64((1 << 64 - CLASS_BITS) - 1)
+    return np.sort(own & low | level << np.uint64(64 - CLASS_BITS))
+
+
+def _sent(buckets: int, common: Common):
+    """Prefix tokens of sets to the token's bucket."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, owners, metas, links, held, seen = [], [], [], [], 0, {}
+        tokens, owners, held = [], [], 0
 
         def flush() -> list[pa.RecordBatch]:
             nonlocal held
-            rows: list = []
-            if tokens:
-                sizes = [len(t) for t in tokens]
-                all_ = {"token": np.concatenate(tokens), "doc": np.repeat(np.array(owners, np.int64), sizes)}
-                rows += dealt(all_, (all_["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, TOKENS)
-            for number, kind, part in ((META, METAS, metas), (LINK, LINKS, links)):
-                if part:
-                    columns = np.array(part, np.int64).T
-                    rows.append((int(part[0][0] % buckets), number, b"".join(np.ascontiguousarray(c).tobytes() for c in columns)))
-                    part.clear()
+            if not tokens:
+                return []
+            all_ = {"token": np.concatenate(tokens), "doc": np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])}
             tokens.clear()
             owners.clear()
             held = 0
-            return _blobs(rows).to_batches(BLOB_ROWS)
+            return _blobs(dealt(all_, (all_["token"] & np.uint64(0x7FFFFFFF)).astype(np.int64) % buckets, TOKEN, TOKENS)).to_batches(BLOB_ROWS)
 
         for batch in batches:
             data, offsets = binary_parts(batch.column("bytes"))
             docs = batch.column("doc").to_pylist()
             for a, b in slices(offsets, STEP_BYTES):
                 for doc, own in zip(docs[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), strict=True):
-                    name = set_id(own)
-                    metas.append((doc, len(own), name))
-                    if not len(own):
-                        continue
-                    first = seen.setdefault(name, doc)
-                    if first != doc:
-                        links.append((first, doc))
-                        continue
-                    tokens.append(own[: prefix_length(len(own))].copy())
-                    owners.append(doc)
-                    held += len(tokens[-1])
+                    if len(own):
+                        tokens.append(ranked(own, common)[: prefix_length(len(own))].copy())
+                        owners.append(doc)
+                        held += len(tokens[-1])
                 if held >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -210,38 +282,42 @@ def _shared(parts: int):
         twice[1:] = token[1:] == token[:-1]
         twice[:-1] |= twice[1:].copy()
         found = {"token": token[twice], "doc": doc[twice]}
-        kept = [(d, k, b) for d, k, b in zip(*(table[c].to_pylist() for c in ("dest", "kind", "blob")), strict=True) if k != TOKEN]
-        return _blobs(kept + dealt(found, part_of(found["doc"], parts), SHARED, TOKENS))
+        return _blobs(dealt(found, part_of(found["doc"], parts), SHARED, TOKENS))
 
     return step
 
 
-def _candidates(docs: pa.Table, shared: pa.Table) -> pa.Table:
+def _candidates(common_ones: Common):
     """Documents with enough shared tokens, with the tokens of their set."""
-    rows = _of_kind(shared, SHARED, TOKENS)
-    order = np.lexsort((rows["token"], rows["doc"]))
-    owner, token = rows["doc"][order], rows["token"][order]
-    ids, first = np.unique(owner, return_index=True)
-    ends = np.append(first, len(owner))[1:]
-    at = {int(d): (int(a), int(b)) for d, a, b in zip(ids, first, ends, strict=True)}
-    out: list[tuple] = []
-    if at and docs.num_rows:
-        wanted = docs.filter(pa.array(np.isin(docs["doc"].to_numpy(), ids))).combine_chunks()
-        if wanted.num_rows:
-            data, offsets = binary_parts(wanted["bytes"].chunk(0))
-            names = wanted["doc"].to_pylist()
-            for a, b in slices(offsets, STEP_BYTES):
-                for doc, own in zip(names[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), strict=True):
-                    begin, end = at[doc]
-                    common = np.intersect1d(own[: prefix_length(len(own))], token[begin:end], assume_unique=False)
-                    if len(own) and len(common) >= least_shared(-(-3 * len(own) // 4)):
-                        ranks = np.searchsorted(own, common).astype("<u4")
-                        counts = small(count_vector(own, groups_of(len(own))))
-                        out.append((doc, len(own), set_id(own), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [()] * 7
-    names = [f.split()[0] for f in CANDIDATE.split(", ")]
-    found = pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size", "set") else pa.binary()) for n, c in zip(names, columns, strict=True)})
-    return pa.Table.from_batches(found.to_batches(SET_ROWS), found.schema)
+
+    def step(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        rows = _of_kind(shared, SHARED, TOKENS)
+        order = np.lexsort((rows["token"], rows["doc"]))
+        owner, token = rows["doc"][order], rows["token"][order]
+        ids, first = np.unique(owner, return_index=True)
+        ends = np.append(first, len(owner))[1:]
+        at = {int(d): (int(a), int(b)) for d, a, b in zip(ids, first, ends, strict=True)}
+        out: list[tuple] = []
+        if at and docs.num_rows:
+            wanted = docs.filter(pa.array(np.isin(docs["doc"].to_numpy(), ids))).combine_chunks()
+            if wanted.num_rows:
+                data, offsets = binary_parts(wanted["bytes"].chunk(0))
+                names = wanted["doc"].to_pylist()
+                for a, b in slices(offsets, STEP_BYTES):
+                    for doc, plain in zip(names[a:b], shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), strict=True):
+                        begin, end = at[doc]
+                        own = ranked(plain, common_ones)
+                        common = np.intersect1d(own[: prefix_length(len(own))], token[begin:end], assume_unique=False)
+                        if len(own) and len(common) >= least_shared(-(-3 * len(own) // 4)):
+                            ranks = np.searchsorted(own, common).astype("<u4")
+                            counts = small(count_vector(own, groups_of(len(own))))
+                            out.append((doc, len(own), set_id(plain), common.tobytes(), ranks.tobytes(), counts.tobytes(), own.tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        names = [f.split()[0] for f in CANDIDATE.split(", ")]
+        found = pa.table({n: pa.array(c, pa.int64() if n in ("doc", "size", "set") else pa.binary()) for n, c in zip(names, columns, strict=True)})
+        return pa.Table.from_batches(found.to_batches(SET_ROWS), found.schema)
+
+    return step
 
 
 def _first_tiles(buckets: int):
@@ -307,35 +383,39 @@ def _rooted(buckets: int):
     return step
 
 
-def _crossing(table: pa.Table) -> pa.Table:
-    """For each document the tokens of this bucket at which it may first meet another component."""
-    rows = _of_kind(table, TOKEN, ROOTED)
-    order = np.lexsort((rows["doc"], rows["excess"], rows["token"]))
-    token, root, excess = (rows[n][order] for n in ("token", "root", "excess"))
-    excess = excess.astype(np.int64)
-    if not len(token):
-        return pa.table({"doc": pa.array([], pa.int64()), "dest": pa.array([], pa.int32()), "crossing": pa.array([], pa.binary())})
-    begin = np.ones(len(token), bool)
-    begin[1:] = token[1:] != token[:-1]
-    first, group = np.flatnonzero(begin), np.cumsum(begin) - 1
-    # Two sets' ranks may sum up to a seventh of their sizes: the least excess, and the least of another component than that one's.
-    other = np.where(root != root[first][group], excess, np.iinfo(np.int32).max)
-    partner = np.where(root != root[first][group], excess[first][group], np.minimum.reduceat(other, first)[group])
-    kept = order[excess + partner <= 0]
-    # Tokens with the same documents as a smaller one add no pair.
-    kept = kept[np.lexsort((rows["doc"][kept], rows["token"][kept]))]
-    tiles, seen = [], set()
-    for members in np.split(kept, np.flatnonzero(np.diff(rows["token"][kept])) + 1):
-        if (key := rows["doc"][members].tobytes()) not in seen:
-            seen.add(key)
-            tiles.append(members)
-    kept = np.concatenate(tiles)
-    by_doc = kept[np.lexsort((rows["token"][kept], rows["doc"][kept]))]
-    doc, token = rows["doc"][by_doc], rows["token"][by_doc]
-    ids, first = np.unique(doc, return_index=True)
-    blobs = [x.tobytes() for x in np.split(token, first[1:])] if len(ids) else []
-    dest = table["dest"][0].as_py()
-    return pa.table({"doc": pa.array(ids, pa.int64()), "dest": pa.array([dest] * len(ids), pa.int32()), "crossing": pa.array(blobs, pa.binary())})
+def _crossing(least: int):
+    """For each document the tokens of this bucket, of ``least`` documents or more, at which it may first meet another component."""
+
+    def step(table: pa.Table) -> pa.Table:
+        rows = _of_kind(table, TOKEN, ROOTED)
+        order = np.lexsort((rows["doc"], rows["excess"], rows["token"]))
+        token, root, excess = (rows[n][order] for n in ("token", "root", "excess"))
+        excess = excess.astype(np.int64)
+        if not len(token):
+            return pa.table({"doc": pa.array([], pa.int64()), "dest": pa.array([], pa.int32()), "crossing": pa.array([], pa.binary())})
+        begin = np.ones(len(token), bool)
+        begin[1:] = token[1:] != token[:-1]
+        first, group = np.flatnonzero(begin), np.cumsum(begin) - 1
+        # Two sets' ranks may sum up to a seventh of their sizes: the least excess, and the least of another component than that one's.
+        other = np.where(root != root[first][group], excess, np.iinfo(np.int32).max)
+        partner = np.where(root != root[first][group], excess[first][group], np.minimum.reduceat(other, first)[group])
+        kept = order[excess + partner <= 0]
+        # Tokens with the same documents as a smaller one add no pair.
+        kept = kept[np.lexsort((rows["doc"][kept], rows["token"][kept]))]
+        tiles, seen = [], set()
+        for members in np.split(kept, np.flatnonzero(np.diff(rows["token"][kept])) + 1):
+            if len(members) >= least and (key := rows["doc"][members].tobytes()) not in seen:
+                seen.add(key)
+                tiles.append(members)
+        kept = np.concatenate([*tiles, order[:0]])
+        by_doc = kept[np.lexsort((rows["token"][kept], rows["doc"][kept]))]
+        doc, token = rows["doc"][by_doc], rows["token"][by_doc]
+        ids, first = np.unique(doc, return_index=True)
+        blobs = [x.tobytes() for x in np.split(token, first[1:])] if len(ids) else []
+        dest = table["dest"][0].as_py()
+        return pa.table({"doc": pa.array(ids, pa.int64()), "dest": pa.array([dest] * len(ids), pa.int32()), "crossing": pa.array(blobs, pa.binary())})
+
+    return step
 
 
 def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,34 +429,51 @@ def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(ranks, pa.binary())], ["dest", "doc", "root", "size", "counts", "tokens", "ranks"])
 
 
-def _second_round(table: pa.Table) -> pa.Table:
-    """Pairs of one tile and different components that the R-tree lets through, with their components."""
-    doc, root, size = (table[n].to_numpy() for n in ("doc", "root", "size"))
-    groups_here = np.array([groups_of(int(n)) for n in size], np.int64)
-    counts = [np.frombuffer(c, np.uint8 if len(c) == g else np.uint32) for c, g in zip(table["counts"].to_pylist(), groups_here, strict=True)]
-    tokens = [np.frombuffer(t, "<u8") for t in table["tokens"].to_pylist()]
-    token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
-    rank = np.concatenate([*(np.frombuffer(r, "<u4") for r in table["ranks"].to_pylist()), np.zeros(0, np.uint32)]).astype(np.int64)
-    row = np.repeat(np.arange(len(doc)), [len(t) for t in tokens])
-    order = np.lexsort((doc[row], token))
-    found: set[tuple[int, int]] = set()
-    root_of = dict(zip(doc.tolist(), root.tolist(), strict=True))
-    looked_at: set[bytes] = set()
-    for members in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
-        rows = row[members]
-        # The same documents met at a smaller token, with less before it: all their pairs have been looked at.
-        if len(rows) < 2 or rows.tobytes() in looked_at:
-            continue
-        looked_at.add(rows.tobytes())
-        for a, b in tile_pairs(doc[rows], root[rows], size[rows], rank[members], [counts[r] for r in rows]):
-            found.add((a, b))
-    a, b = zip(*sorted(found), strict=True) if found else ((), ())
-    ends = {"a": a, "b": b, "root_a": [root_of[d] for d in a], "root_b": [root_of[d] for d in b]}
-    return pa.table({n: pa.array(x, pa.int64()) for n, x in ends.items()})
+def _second_round(nearest: bool):
+    """Pairs of one tile and different components that the R-tree lets through, with their components; or of these each set's nearest one."""
 
+    def step(table: pa.Table) -> pa.Table:
+        doc, root, size = (table[n].to_numpy() for n in ("doc", "root", "size"))
+        groups_here = np.array([groups_of(int(n)) for n in size], np.int64)
+        counts = [np.frombuffer(c, np.uint8 if len(c) == g else np.uint32) for c, g in zip(table["counts"].to_pylist(), groups_here, strict=True)]
+        tokens = [np.frombuffer(t, "<u8") for t in table["tokens"].to_pylist()]
+        token = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+        rank = np.concatenate([*(np.frombuffer(r, "<u4") for r in table["ranks"].to_pylist()), np.zeros(0, np.uint32)]).astype(np.int64)
+        row = np.repeat(np.arange(len(doc)), [len(t) for t in tokens])
+        order = np.lexsort((doc[row], token))
+        found: set[tuple[int, int]] = set()
+        root_of = dict(zip(doc.tolist(), root.tolist(), strict=True))
+        looked_at: set[bytes] = set()
+        for members in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            rows = row[members]
+            # The same documents met at a smaller token, with less before it: all their pairs have been looked at.
+            if len(rows) < 2 or rows.tobytes() in looked_at:
+                continue
+            looked_at.add(rows.tobytes())
+            found.update(tile_pairs(doc[rows], root[rows], size[rows], rank[members], [counts[r] for r in rows], nearest))
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        ends = {"a": a, "b": b, "root_a": [root_of[d] for d in a], "root_b": [root_of[d] for d in b]}
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in ends.items()})
 
-def tile_pairs(doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.ndarray, counts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that sizes, ranks and count vectors allow, each at the groups of its smaller set."""
+    return step
+
+
+def pair_allowed(size: list[int], before: list[int], counts: list[np.ndarray]) -> bool:
+    """Whether sizes, ranks and count vectors of two sets allow a link."""
+    (a, b), level = sorted(size), min(len(c) for c in counts)
+    if 4 * a < 3 * b or 7 * sum(before) > a + b or groups_of(-(-3 * b // 4)) > level:
+        return False
+    return 7 * int(np.minimum(*(coarser(c, level) for c in counts)).sum(dtype=np.int64)) >= 3 * (a + b)
+
+
+def tile_pairs(
+    doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.ndarray, counts: list[np.ndarray], nearest: bool = False
+) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that sizes, ranks and count vectors allow, each at the groups of its smaller set; or each set's nearest of these."""
+    if len(doc) == 2:
+        if root[0] != root[1] and pair_allowed(size.tolist(), before.tolist(), counts):
+            yield int(doc.min()), int(doc.max())
+        return
     groups = np.array([len(c) for c in counts])
     lowest = np.array([groups_of(-(-3 * int(n) // 4)) for n in size])
     for level in np.unique(groups).tolist():
@@ -384,12 +481,19 @@ def tile_pairs(doc: np.ndarray, root: np.ndarray, size: np.ndarray, before: np.n
         if len(own) < 2 or (root[own] == root[own[0]]).all():
             continue
         tree = RTree(small(np.stack([coarser(counts[k], level) for k in own])), size[own])
-        for k, i in enumerate(own.tolist()):
-            if groups[i] != level:
-                continue
-            able = (root[own] != root[i]) & ((groups[own] > level) | (doc[own] > doc[i])) & (7 * (before[own] + before[i]) <= size[own] + size[i])
+        # Of the largest component's members only the others ask.
+        names, at, times = np.unique(root[own], return_inverse=True, return_counts=True)
+        asked = at == np.argmax(times)
+        for k in np.flatnonzero(~asked).tolist():
+            i = own[k]
+            able = (at != at[k]) & ((groups[own] == level) | (groups[i] == level)) & (7 * (before[own] + before[i]) <= size[own] + size[i])
+            if not nearest:
+                able &= asked | (doc[own] > doc[i])
             if able.any():
-                for j in tree.near(tree.points[k], int(size[i]), able).tolist():
+                near = tree.near(tree.points[k], int(size[i]), able)
+                if nearest and len(near):
+                    near = near[[np.argmax(7 * np.minimum(tree.points[near], tree.points[k]).sum(1, dtype=np.int64) - 3 * size[own[near]])]]
+                for j in near.tolist():
                     yield int(min(doc[i], doc[own[j]])), int(max(doc[i], doc[own[j]]))
 
 
@@ -479,35 +583,56 @@ def _unpacked_rows(kind_number: int, kind: list, blobs: DataFrame, schema: str)
     return blobs.where(f"kind = {kind_number}").select("blob").mapInArrow(step, schema)
 
 
+def first_documents(sizes: DataFrame) -> DataFrame:
+    """(first, doc) of every row with a token: the smallest id that has the same set, and its own."""
+    some = sizes.where("size > 0").select("set", "doc")
+    return some.join(some.groupBy("set").agg(F.min("doc").alias("first")), "set").select("first", "doc")
+
+
+def without_copies(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The texts but those of documents whose every set belongs to a smaller id; these go to the texts as long as they are few."""
+    gone = written(firsts.groupBy("doc").agg(F.min(F.col("first") < F.col("doc")).alias("gone")).where("gone").select("doc"), "gone")
+    return keyed.join(F.broadcast(gone) if gone.count() <= MOST_KEYS else gone, "doc", "left_anti")
+
+
 def joined_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc, size, set) of every row, (node, root) of every linked document, and the candidates; a null id is NO_ID."""
     partitions = shuffle_partitions(docs.sparkSession)
     parts = 4 * partitions
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), utf8().alias("bytes"))
-    sent = keyed.mapInArrow(_sent(partitions), BLOBS)
+    measured = written(keyed.mapInArrow(_measured, "kind int, blob binary"), "sets")
+    sizes, common = _unpacked_rows(META, METAS, measured, "doc long, size long, set long"), common_tokens(measured)
+    firsts = written(first_documents(sizes), "firsts")
+    singles = without_copies(keyed, firsts)
+    sent = singles.mapInArrow(_sent(partitions, common), BLOBS)
     met = written(sent.groupBy("dest").applyInArrow(_shared(parts), BLOBS), "tokens")
-    by_part = keyed.withColumn("part", part_column("doc", parts)).repartition(partitions, "part").groupBy("part")
+    by_part = singles.withColumn("part", part_column("doc", parts)).repartition(partitions, "part").groupBy("part")
     shared = met.where(f"kind = {SHARED}").withColumnRenamed("dest", "part").groupBy("part")
-    found = written(by_part.cogroup(shared).applyInArrow(_candidates, CANDIDATE), "candidates")
+    found = written(by_part.cogroup(shared).applyInArrow(_candidates(common), CANDIDATE), "candidates")
     tiles = found.select("doc", "shared", "tokens").mapInArrow(_first_tiles(parts), "dest int, tile long, doc long, tokens binary")
-    copies = _unpacked_rows(LINK, LINKS, met, "a long, b long")
+    copies = firsts.where("first <> doc").toDF("a", "b")
     first = copies.unionByName(tiles.groupBy("dest").applyInArrow(_first_round, "a long, b long"))
     roots = components(first)
+    roots = written(merged(roots, tied_roots(found, roots, LARGE_TILE, nearest=True)), "roots")
+    return sizes, merged(roots, tied_roots(found, roots)), found
+
+
+def tied_roots(found: DataFrame, roots: DataFrame, least: int = 2, nearest: bool = False) -> DataFrame:
+    """Links (a, b) between the roots of candidates in tiles of ``least`` members or more: all that there are, or of each member's nearest one."""
+    partitions = shuffle_partitions(found.sparkSession)
     placed = found.drop("tokens").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
     rooted = placed.select("doc", "root", "size", "shared", "ranks").mapInArrow(_rooted(partitions), BLOBS)
-    crossing = rooted.groupBy("dest").applyInArrow(_crossing, "doc long, dest int, crossing binary")
+    crossing = rooted.groupBy("dest").applyInArrow(_crossing(least), "doc long, dest int, crossing binary")
     second = placed.join(crossing, "doc").mapInArrow(
         _with_ranks, "dest int, doc long, root long, size long, counts binary, tokens binary, ranks binary"
     )
-    pairs = second.groupBy("dest").applyInArrow(_second_round, "a long, b long, root_a long, root_b long").distinct()
+    pairs = second.groupBy("dest").applyInArrow(_second_round(nearest), "a long, b long, root_a long, root_b long").distinct()
     sets = found.select("doc", "tokens")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("left")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("tokens").alias("right")), "b"
     )
     # What these links connect are components already, so only their roots need to be looked at.
-    last = both.select("root_a", "root_b", "left", "right").mapInArrow(_verified, "a long, b long")
-    sizes = _unpacked_rows(META, METAS, met, "doc long, size long, set long")
-    return sizes, merged(roots, last), found
+    return both.select("root_a", "root_b", "left", "right").mapInArrow(_verified, "a long, b long")
 
 
 def met_blocks(sizes: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -518,7 +643,10 @@ def met_blocks(sizes: DataFrame, roots: DataFrame, found: DataFrame) -> DataFram
     copies = sizes.groupBy("set").agg(F.count("*").alias("copies"))
     placed = one.join(roots, F.col("doc") == F.col("node"), "left").select("set", "doc", "size", F.coalesce("root", "doc").alias("root"))
     blocks = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").select(
-        "root", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("total") / BLOCK_TOKENS)).cast("int").alias("blocks")
+        "root",
+        F.ceil(F.greatest(F.least(F.col("n") / BLOCK_SETS, F.lit(FEW_BLOCKS)), F.col("n") / MOST_BLOCK_SETS, F.col("total") / BLOCK_TOKENS))
+        .cast("int")
+        .alias("blocks"),
     )
     dealt_sets = placed.join(blocks, "root").join(copies, "set")
     own = dealt_sets.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
